@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from starfold.llm import mixing, sharding
+from starfold.llm import mixing, packing, sharding
 
 QUERIES = {
     "op6_mix_sources": mixing.query,
     "op7_shard_slots": sharding.query,
+    "op9_pack_best_fit": packing.query,
 }
 
 ORACLE = {"op6_mix_sources": mixing.ORACLE}

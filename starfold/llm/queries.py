@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from starfold.llm import mixing, packing, sharding
+from starfold.llm import langid, mixing, packing, sharding, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.query,
     "op6_mix_sources": mixing.query,
     "op7_shard_slots": sharding.query,
+    "op8_language": langid.query,
     "op9_pack_best_fit": packing.query,
 }
 

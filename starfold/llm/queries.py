@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from starfold.llm import langid, mixing, packing, sharding, toxicity
+from starfold.llm import langid, matroska, mixing, packing, secrets, sharding, toxicity
 
 QUERIES = {
+    "op1_secrets": secrets.query,
+    "op2_matroska": matroska.query,
     "op3_toxicity": toxicity.query,
     "op6_mix_sources": mixing.query,
     "op7_shard_slots": sharding.query,

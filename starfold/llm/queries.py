@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from starfold.llm import langid, matroska, mixing, packing, secrets, sharding, toxicity
+from starfold.llm import langid, matroska, mixing, packing, permutation, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_shard_slots": sharding.query,
     "op8_language": langid.query,
     "op9_pack_best_fit": packing.query,
+    "op10_permutation_index": permutation.query,
 }
 
-ORACLE = {"op6_mix_sources": mixing.ORACLE}
+ORACLE = {"op6_mix_sources": mixing.ORACLE, "op10_permutation_index": permutation.ORACLE}

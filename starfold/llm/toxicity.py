@@ -20,8 +20,8 @@ from starfold.llm.ngrams import grams, held_out, learnt_from, parts, sample
 
 ORDERS = (3, 4, 5)
 BITS = 20
-SAMPLE = 20_000
-MIN_Z = 4.0
+SAMPLE = 8_000
+MIN_Z = 5.0
 MIN_TOXIC = 3
 THRESHOLD = 0.7
 
@@ -56,7 +56,7 @@ def counts(rows: DataFrame) -> DataFrame:
     return made.groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def fit(rows: DataFrame, steps: int = 400, l2: float = 2e-4) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(rows: DataFrame, steps: int = 400, l2: float = 2e-5) -> tuple[np.ndarray, np.ndarray, float]:
     """Learn from ``rows`` (text, label 0/1): (slots, their weights times their scales, intercept)."""
     n = {int(r["label"]): r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)

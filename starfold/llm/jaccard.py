@@ -351,5 +351,34 @@ def join(docs: DataFrame) -> DataFrame:
     return some.unionByName(none)
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """Adds the class of its text to every row of ``docs``, as __cls."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, data, ends in texts(batch, "text"):
+                got = pa.array([class_of(s) for s in sets(data, ends)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*own.columns, got], names=[*own.schema.names, "__cls"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{kinds}, __cls long")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, maybe more columns) with one row of each component: its least doc_id's, null last.
+
+    Rows without shingles all stay. Of rows equal in doc_id and set, one stays. Names that begin with
+    two underscores are taken.
+    """
+    rows, roots = linked(docs)
+    some = rows.filter("n > 0").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    best = some.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls")).alias("b"))
+    best = best.select(F.col("b.doc_id").alias("__doc"), F.col("b.cls").alias("__best"))
+    every = named(docs)
+    first = every.filter("__cls != 0").dropDuplicates(["doc_id", "__cls"])
+    first = first.join(best, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__cls") == F.col("__best")), "left_semi")
+    return first.unionByName(every.filter("__cls = 0")).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")

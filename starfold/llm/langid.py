@@ -100,7 +100,8 @@ def fit(made: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 3) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred and lang_score to ``docs``; without a letter, or with nothing learnt: `und` and 0."""
+    """Adds lang_pred and lang_score to ``docs``; without a letter, or with nothing learnt: `und` and 0. Columns of these names are replaced."""
+    docs = docs.drop("lang_pred", "lang_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -87,6 +87,16 @@ def mix_sizes(rows: DataFrame, seed: int = SEED, **rule) -> DataFrame:
     return rows.drop("_bin", "_sub", "_rank", "_source", "_b", "_s", "_start", "_rate", "_offset")
 
 
+def emit(docs: DataFrame, seed: int = SEED, **rule) -> DataFrame:
+    """``docs`` (doc_id, text, source, maybe more columns) with every row as often as the mix takes it.
+
+    Names that begin with two underscores are taken.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.struct(*docs.columns).alias("__row"))
+    taken = mix_sizes(rows, seed, **rule).filter("copies > 0")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select("__row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 

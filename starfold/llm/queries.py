@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from starfold.llm import jaccard, langid, matroska, mixing, packing, permutation, secrets, sharding, toxicity
+from starfold.llm import jaccard, langid, linededup, matroska, mixing, packing, permutation, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.query,
     "op2_matroska": matroska.query,
     "op3_toxicity": toxicity.query,
     "op4_jaccard_join": jaccard.query,
+    "op5_line_dedup": linededup.query,
     "op6_mix_sources": mixing.query,
     "op7_shard_slots": sharding.query,
     "op8_language": langid.query,

@@ -101,7 +101,9 @@ def fit(rows: DataFrame, steps: int = 400, l2: float = 2e-5) -> tuple[np.ndarray
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """Adds toxic_score (0 to 1) to every row of ``docs``; null and empty texts get the intercept's score."""
+    """Adds toxic_score (0 to 1) to every row of ``docs``; null and empty texts get the
+    intercept's score. A column toxic_score of ``docs`` is replaced."""
+    docs = docs.drop("toxic_score")
     slots, weights, intercept = model
     table = np.zeros(1 << BITS)
     table[slots] = weights

@@ -1 +1 @@
-
+"""Benchmark queries and the registry."""

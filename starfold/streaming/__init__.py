@@ -1 +1 @@
-
+"""The engine works on tables at rest; it has no streaming operator."""

@@ -1 +1 @@
-
+"""Command-line tools."""

@@ -79,6 +79,7 @@ def repeats(docs: DataFrame, run: int = RUN, gram: int = GRAM, reach: int = REAC
     picks = prints.select(*_D, F.inline("picks"))
     place = F.struct(F.col("__doc").isNull().alias("none"), F.coalesce("__doc", F.lit(0)).alias("d"), F.col("__hash").alias("t"), "at")
     again = picks.groupBy("g").agg(F.count("*").alias("k"), F.min(place).alias("origin")).filter("k > 1").drop("k")
+    again = stored(again, "repeated")  # a stored table has no partitioning to keep, so Spark may split a frequent fingerprint
     found = picks.join(again, "g").select(*_D, "at", "g", place.eqNullSafe(F.col("origin")).alias("first"))
     anchors = stored(_with_context(prints, found, reach), "anchors")
     firsts = anchors.filter("first").select("g", F.col("__doc").alias("fd"), F.col("__hash").alias("ft"), F.col("after").alias("first_after"), F.col("back").alias("first_back"))

@@ -6,7 +6,7 @@ of similarity 0.75 or more are found exactly, and documents get the component th
 1. Fragments. The global order of n-grams (by hash) is cut into ranges. Each range counts, apart from
    the others, how many n-grams of a class are shared with any other class; summed per class, this
    shows which classes can have a partner at all: at most a quarter of a set may be missing from a
-   partner's, so of its lowest m n-grams at least m - n/4 are shared.
+   partner's, so of its m n-grams in the lower half of the order at least m - n/4 are shared.
 2. Only those classes go on. Their n-grams are put in a second order, the rare ones first; two sets
    that link meet in a prefix of n/4 + 1. Where classes meet, one is the hub.
 3. Overlaps with the hub are counted in each range separately and summed per pair.
@@ -35,7 +35,7 @@ from starfold.llm.shingles import sets
 FRAGMENTS = 32
 FRAGMENT_ENTRIES = 4_000_000
 PARTS = 16
-SMALL = 64
+HALF = np.uint64(1 << 63)
 BLOOM_BITS_A_CLASS = 16
 BLOOM_MOST_BITS = 1 << 27
 BLOOM_HASHES = 4
@@ -47,31 +47,32 @@ def class_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else 0
 
 
-def lowest(n: int) -> int:
-    """How many n-grams of a set, lowest first, step 1 looks at."""
-    return n if n <= SMALL else (n + 1) // 2
+def lower_half(s: np.ndarray) -> np.ndarray:
+    """The n-grams that step 1 looks at: those in the lower half of the order, the same for every set."""
+    return s[: np.searchsorted(s, HALF)]
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the set), cls for every row of ``docs``."""
+    """doc_id, n (size of the set), low (of these, in the lower half of the order), cls for every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own, data, ends in texts(batch, "text"):
                 got = sets(data, ends)
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array([len(s) for s in got], pa.int64()), pa.array([class_of(s) for s in got], pa.int64())], names=["doc_id", "n", "cls"])
+                columns = [[len(s) for s in got], [len(lower_half(s)) for s in got], [class_of(s) for s in got]]
+                yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "n", "low", "cls"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, cls long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, low long, cls long")
 
 
 def shared_counts(docs: DataFrame, fragments: int) -> DataFrame:
-    """(cls, shared): of the lowest n-grams of each class, how many some other class has too.
+    """(cls, shared): of the n-grams of each class in the lower half of the order, how many some other class has too.
 
     N-grams that classes of one block of texts share are counted there; only one entry, without a
     class, goes on for them. So a very frequent n-gram arrives once per block, not once per document.
     Copies of a class in several blocks may count an n-gram twice: the filter then keeps a class too many.
     """
-    shift = np.uint64(64 - max(1, (fragments - 1).bit_length()))
+    shift = np.uint64(63 - max(1, (fragments - 1).bit_length()))
     n_frag = 1 << max(1, (fragments - 1).bit_length())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +81,7 @@ def shared_counts(docs: DataFrame, fragments: int) -> DataFrame:
                 own: dict[int, np.ndarray] = {}
                 for s in sets(data, ends):
                     if len(s):
-                        own.setdefault(class_of(s), s[: lowest(len(s))])
+                        own.setdefault(class_of(s), lower_half(s))
                 if not own:
                     continue
                 name = np.repeat(np.array(list(own), np.int64), [len(s) for s in own.values()])
@@ -309,11 +310,11 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, cls) of every row and (cls, root) of the classes that have links; both stored."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(classes(docs), "classes")
-    names = rows.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"))
-    total = names.agg(F.sum("n")).first()[0] or 0
-    low = F.when(F.col("n") <= SMALL, F.col("n")).otherwise(F.expr("(n + 1) div 2"))
-    counts = shared_counts(docs, max(FRAGMENTS, -(-total // (2 * FRAGMENT_ENTRIES))))
-    alive = stored(counts.join(names, "cls").filter(F.col("shared") >= low - F.expr("n div 4")).select("cls"), "alive")
+    names = rows.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("low").alias("low"))
+    total = names.agg(F.sum("low")).first()[0] or 0
+    counts = shared_counts(docs, max(FRAGMENTS, -(-total // FRAGMENT_ENTRIES)))
+    shared = F.coalesce("shared", F.lit(0))
+    alive = stored(names.join(counts, "cls", "left").filter(shared >= F.col("low") - F.expr("n div 4")).select("cls"), "alive")
     own = surviving_sets(docs, alive)
     _, entries = prefixes(own)
     pairs = stored(overlaps(stored(hub_pairs(entries), "pairs"), own), "overlaps")
@@ -345,7 +346,8 @@ def join(docs: DataFrame) -> DataFrame:
     """
     rows, roots = linked(docs)
     some = rows.filter("n > 0").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = some.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # stored tables have no partitioning to keep, so Spark may split the rows of a large component
+    least = stored(some.groupBy("root").agg(F.min("doc_id").alias("component_id")), "components")
     some = some.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "cls")
     none = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "cls")
     return some.unionByName(none)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm._common import documents, stored
+from starfold.llm._common import by_arrow, documents, stored
 from starfold.llm.blocks import texts
 from starfold.llm.shingles import sets
 
@@ -62,7 +62,7 @@ def classes(docs: DataFrame) -> DataFrame:
                 columns = [[len(s) for s in got], [len(lower_half(s)) for s in got], [class_of(s) for s in got]]
                 yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "n", "low", "cls"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, low long, cls long")
+    return by_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, low long, cls long")
 
 
 def shared_counts(docs: DataFrame, fragments: int) -> DataFrame:
@@ -125,7 +125,7 @@ def shared_counts(docs: DataFrame, fragments: int) -> DataFrame:
         distinct, at = np.unique(every, return_inverse=True)
         return pa.table({"cls": pa.array(distinct, pa.int64()), "shared": pa.array(np.bincount(at, weight, len(distinct)).astype(np.int64) if len(distinct) else np.zeros(0, np.int64))})
 
-    made = docs.select("text").mapInArrow(emit, "frag int, grams binary, names binary, done binary, counts binary")
+    made = by_arrow(docs.select("text"), emit, "frag int, grams binary, names binary, done binary, counts binary")
     return made.groupBy("frag").applyInArrow(count, "cls long, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
 
 
@@ -151,7 +151,7 @@ def surviving_sets(docs: DataFrame, names: DataFrame) -> DataFrame:
                             own.setdefault(c, s)
                 yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([len(s) for s in own.values()], pa.int64()), pa.array([s.astype(np.int64) for s in own.values()], pa.list_(pa.int64()))], names=["cls", "n", "grams"])
 
-    found = every.mapInArrow(run, "cls long, n long, grams array<long>")
+    found = by_arrow(every, run, "cls long, n long, grams array<long>")
     return stored(found.join(names.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
 
@@ -363,7 +363,7 @@ def named(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*own.columns, got], names=[*own.schema.names, "__cls"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, __cls long")
+    return by_arrow(docs, run, f"{kinds}, __cls long")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -384,3 +384,25 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents WHERE text IS NOT NULL),
+grams AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM words WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM pairs JOIN sizes sx ON x = sx.doc_id JOIN sizes sy ON y = sy.doc_id
+  WHERE 100 * o >= 75 * (sx.n + sy.n - o)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT doc_id AS node, doc_id AS other FROM documents
+  UNION SELECT reach.node, edges.y FROM reach JOIN edges ON reach.other = edges.x)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id
+FROM documents d JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY node) r ON d.doc_id = r.node
+LEFT JOIN sizes s ON d.doc_id = s.doc_id
+"""

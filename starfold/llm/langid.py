@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm._common import documents
+from starfold.llm._common import by_arrow, documents
 from starfold.llm.ngrams import grams, held_out, learnt_from, letters, parts, sample
 
 ORDERS = (1, 2, 3)
@@ -39,7 +39,7 @@ def _features(rows: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
                 yield pa.RecordBatch.from_arrays([own.column(own.schema.get_field_index("label")), pa.array(slots, pa.binary()), pa.array(counts, pa.binary())], names=["label", "slots", "counts"])
 
     out = []
-    for r in sorted(rows.select("text", "label").mapInArrow(run, "label string, slots binary, counts binary").collect()):  # the bounded sample
+    for r in sorted(by_arrow(rows.select("text", "label"), run, "label string, slots binary, counts binary").collect()):  # the bounded sample
         slots, n = np.frombuffer(r["slots"], "<i4"), np.frombuffer(r["counts"], "<i4")
         if len(slots):
             out.append((r["label"], slots, n / n.sum()))
@@ -122,7 +122,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(names[best], pa.string()), pa.array(got)], names=[*own.schema.names, "lang_pred", "lang_score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, lang_score double")
+    return by_arrow(docs, run, f"{kinds}, lang_pred string, lang_score double")
 
 
 def learn(docs: DataFrame, most: int = SAMPLE) -> Model:

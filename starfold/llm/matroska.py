@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm._common import documents
+from starfold.llm._common import by_arrow, documents
 from starfold.llm.blocks import texts
 
 # Element identifiers of the format.
@@ -385,7 +385,7 @@ def packets(df: DataFrame, column: str, key: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(own), batch.schema.types[0]), pa.array(range(i, i + len(own)), pa.int64()), *fields], names=[key, "packet", "track", "timestamp_ns", "offset", "size", "keyframe"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, F.col(column).cast("binary").alias(column)).mapInArrow(run, f"`{key}` {kind}, packet long, track long, timestamp_ns long, offset long, size long, keyframe boolean")
+    return by_arrow(df.select(key, F.col(column).cast("binary").alias(column)), run, f"`{key}` {kind}, packet long, track long, timestamp_ns long, offset long, size long, keyframe boolean")
 
 
 def stored_texts(docs: DataFrame) -> DataFrame:
@@ -408,7 +408,7 @@ def stored_texts(docs: DataFrame) -> DataFrame:
                 types = [pa.int64() if k == "long" else pa.string() for k in kinds[1:]]
                 yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(map(" ".join, zip(names, kinds, strict=True))))
+    return by_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, ", ".join(map(" ".join, zip(names, kinds, strict=True))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

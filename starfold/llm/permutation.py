@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starfold.llm._common import documents, stored
+from starfold.llm._common import documents, importable, stored
 
 PIVOTS = 128
 PREFIX = 32
@@ -101,6 +101,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = NEAREST, n_pivots: int =
     smaller vec_id. Rows that take no part (see ``taking_part``) are neither queries nor candidates.
     """
     spark = df.sparkSession
+    importable(spark)
     rows, asked = stored(taking_part(df), "vectors"), taking_part(queries)
     n, n_asked = rows.count(), asked.count()
     pivot = pivots(rows, n_pivots)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm._common import documents
+from starfold.llm._common import by_arrow, documents
 from starfold.llm.blocks import texts
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -166,7 +166,7 @@ def scan(docs: DataFrame, words: tuple[str, ...] = tuple(WORDS), min_bits: float
                     at = end
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(rows, pa.list_(span))], names=["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long,bits:double>>")
+    return by_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, spans array<struct<kind:string,start:long,end:long,bits:double>>")
 
 
 def joined(spans: list[Span]) -> str:

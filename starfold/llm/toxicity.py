@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm._common import documents
+from starfold.llm._common import by_arrow, documents
 from starfold.llm.ngrams import grams, held_out, learnt_from, parts, sample
 
 ORDERS = (3, 4, 5)
@@ -52,7 +52,7 @@ def counts(rows: DataFrame) -> DataFrame:
         at = np.flatnonzero(seen.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[1][at]), pa.array(seen[0][at])], names=["slot", "toxic", "other"])
 
-    made = rows.select("text", "label").mapInArrow(run, "slot long, toxic long, other long")
+    made = by_arrow(rows.select("text", "label"), run, "slot long, toxic long, other long")
     return made.groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
@@ -79,7 +79,7 @@ def fit(rows: DataFrame, steps: int = 400, l2: float = 2e-5) -> tuple[np.ndarray
                 held = np.split(slot, np.searchsorted(row, np.arange(1, own.num_rows)))
                 yield pa.RecordBatch.from_arrays([own.column(own.schema.get_field_index("label")).cast(pa.int32()), pa.array([h.astype("<i4").tobytes() for h in held], pa.binary())], names=["label", "slots"])
 
-    made = rows.select("text", "label").mapInArrow(run, "label int, slots binary").collect()  # the sample, without its texts
+    made = by_arrow(rows.select("text", "label"), run, "label int, slots binary").collect()  # the sample, without its texts
     y = np.array([r["label"] for r in made], float)
     held = [np.frombuffer(r["slots"], "<i4") for r in made]
     order = sorted(range(len(held)), key=lambda i: (made[i]["slots"], y[i]))  # whatever the order of partitions
@@ -119,7 +119,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(got)], names=[*own.schema.names, "toxic_score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, toxic_score double")
+    return by_arrow(docs, run, f"{kinds}, toxic_score double")
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:

@@ -185,6 +185,7 @@ def prefixes(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     grams = own.select("cls", "n", F.explode("grams").alias("gram"))
     often = grams.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
+    often = stored(often, "often")  # without a partitioning to keep, Spark may split a frequent n-gram's rows
     held = grams.join(often, "gram").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("list"))
     held = held.withColumn("q", F.size("list")).filter(F.col("q") >= F.col("n") - F.expr("n div 4"))
     length = F.expr("cast(n div 4 + 1 - (n - q) as int)")
@@ -196,6 +197,7 @@ def prefixes(own: DataFrame) -> tuple[DataFrame, DataFrame]:
 def hub_pairs(entries: DataFrame) -> DataFrame:
     """Distinct (cls, hub): the hub of an n-gram is the class with the smallest name that has it in its prefix."""
     hubs = entries.groupBy("gram").agg(F.count("*").alias("k"), F.min_by(F.struct("cls", "n", "q"), "cls").alias("h")).filter("k > 1")
+    hubs = stored(hubs, "hubs")
     met = entries.join(hubs, "gram").filter(F.col("cls") != F.col("h.cls"))
     met = met.select("cls", "n", "q", F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.q").alias("hub_q"))
     return met.dropDuplicates(["cls", "hub"])

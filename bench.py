@@ -18,7 +18,7 @@ from starfold.tools.verify import same
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
-RUNS = int(os.environ.get("BENCH_RUNS", "4"))
+RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 QUERIES = ("q1", "q2", "q3", "q4", "q5")
 STRATEGIES = ("broadcast", "auto", "shuffle_hash", "merge", "onepass")
 

@@ -4,12 +4,14 @@ A document is the sequence of its lines that have words. The fingerprint of a li
 the shortest run of lines from it on that has GRAM words. Of the fingerprints that begin within
 RUN - GRAM words from any line, the least is selected (the last of equals). A run of lines of RUN
 words or more that two documents share contains the same windows in both, so both select the same
-fingerprint in it: none is missed, and most fingerprints are never shuffled by value.
-
-Every selected fingerprint is joined with its first occurrence in the order of (doc_id, text hash,
-line), the match is extended line by line both ways, overlapping and adjacent matches of a document
-are merged, and merged runs of RUN words or more are deleted. A deleted line always has an earlier
-equal line, so the first copy of everything stays.
+fingerprint from its first line on: none is missed, and most fingerprints are never shuffled by value.
+
+Where a selected fingerprint occurs again, the stretches that select it are looked at: the shortest
+runs of RUN words from a line on, and those up to a line. Together they cover every line of every
+longer run. The hash of a stretch, not the fingerprint, is joined with its own first occurrence in
+the order of (doc_id, text hash, line), so the first occurrence of a fingerprint in another context
+hides nothing. Every other occurrence is deleted, overlapping and adjacent ones as one run. A deleted
+stretch always has an earlier equal one, so the first copy of everything stays.
 """
 
 from __future__ import annotations
@@ -21,8 +23,6 @@ from starfold.llm._common import WORD, documents, stored
 
 RUN = 50
 GRAM = 25
-#: Lines that a match is extended by on either side; between selected fingerprints there are fewer words.
-REACH = 50
 _D = ["__doc", "__hash"]
 
 
@@ -32,9 +32,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
-    """One row per document that has words: __doc, __hash, lines (pos, hash, words, before), picks (gram hash, line index).
+    """One row per document that has words: __doc, __hash, lines (pos, hash, words, before, till, since, by), picks (gram hash, line index).
 
-    ``before`` counts the words of the lines before.
+    ``before`` counts the words of the lines before. The shortest run of ``run`` words from a line on
+    ends at line ``till``, that up to it begins at ``since``; null where there is none. ``by`` is the
+    line whose fingerprint it selects.
     """
     line = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), F.xxhash64(F.trim(x)).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w")))
     rows = docs.filter(F.col("text").isNotNull()).select(*_D, F.filter(line, lambda s: s["w"] > 0).alias("lines"))
@@ -47,45 +49,42 @@ def fingerprints(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame
     rows = rows.withColumn("g", F.when(full, F.xxhash64(F.collect_list("h").over(ahead))))
     near = doc.orderBy("before").rangeBetween(Window.currentRow, run - gram)
     rows = rows.withColumn("pick", F.min(F.when(F.col("g").isNotNull(), F.struct("g", (-F.col("at")).alias("back")))).over(near))
+    rows = rows.withColumn("by", -F.col("pick.back")).withColumn("after", F.col("before") + F.col("w"))
+    on, back = doc.orderBy("before").rangeBetween(Window.currentRow, run - 1), doc.orderBy("after").rangeBetween(1 - run, Window.currentRow)
+    rows = rows.withColumn("till", F.when(F.sum("w").over(on) >= run, F.max("at").over(on)))
+    rows = rows.withColumn("since", F.when(F.sum("w").over(back) >= run, F.min("at").over(back)))
     last = F.lag("pick").over(doc.orderBy("at"))
     rows = rows.withColumn("pick", F.when(F.col("pick").isNotNull() & ~F.col("pick").eqNullSafe(last), F.struct(F.col("pick.g").alias("g"), (-F.col("pick.back")).alias("at"))))
-    lines = F.sort_array(F.collect_list(F.struct("at", "pos", "h", "w", "before")))
+    lines = F.sort_array(F.collect_list(F.struct("at", "pos", "h", "w", "before", "till", "since", "by")))
     return rows.groupBy(*_D).agg(lines.alias("lines"), F.collect_list("pick").alias("picks"))
 
 
-def _with_context(docs: DataFrame, anchors: DataFrame, reach: int) -> DataFrame:
-    """anchors (__doc, __hash, at, g, first) with the hashes of the lines before (nearest first) and from it on."""
-    held = anchors.groupBy(*_D).agg(F.collect_list(F.struct("at", "g", "first")).alias("anchors"))
-    held = held.select(F.col("__doc").alias("__doc2"), F.col("__hash").alias("__hash2"), "anchors")
-    both = docs.join(held, F.col("__doc").eqNullSafe(F.col("__doc2")) & (F.col("__hash") == F.col("__hash2")))
-    context = F.transform("anchors", lambda a: F.struct(
-        a["at"].alias("at"), a["g"].alias("g"), a["first"].alias("first"),
-        F.slice(F.col("lines.h"), a["at"] + 1, F.lit(reach)).alias("after"),
-        F.reverse(F.slice(F.col("lines.h"), F.greatest(a["at"] + 1 - reach, F.lit(1)), F.least(a["at"], F.lit(reach)))).alias("back"),
-    ))
-    return both.select(*_D, context.alias("anchors")).select(*_D, F.inline("anchors"))
+def stretches(prints: DataFrame, found: DataFrame) -> DataFrame:
+    """__doc, __hash, a, b (line indices), key (hash) of each shortest run that selects a fingerprint of ``found`` (__doc, __hash, at)."""
+    held = found.groupBy(F.col("__doc").alias("__doc2"), F.col("__hash").alias("__hash2")).agg(F.collect_list("at").alias("ats"))
+    both = prints.join(held, F.col("__doc").eqNullSafe(F.col("__doc2")) & (F.col("__hash") == F.col("__hash2")))
+    start = lambda x: F.element_at("lines", x["since"] + 1)
+    on = F.filter("lines", lambda x: x["till"].isNotNull() & F.array_contains("ats", x["by"]))
+    back = F.filter("lines", lambda x: x["since"].isNotNull() & (start(x)["till"] < x["at"]) & F.array_contains("ats", start(x)["by"]))
+    ends = F.concat(F.transform(on, lambda x: F.struct(x["at"].alias("a"), x["till"].alias("b"))), F.transform(back, lambda x: F.struct(x["since"].alias("a"), x["at"].alias("b"))))
+    hashed = F.transform(ends, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.xxhash64(F.slice("lines.h", x["a"] + 1, x["b"] - x["a"] + 1)).alias("key")))
+    return both.select(*_D, F.inline(hashed))
 
 
-def _alike(a: str, b: str) -> Column:
-    """How many elements two arrays have in common from their beginning."""
-    n = F.least(F.size(a), F.size(b))
-    differ = F.array_position(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x == y), False)
-    return F.when(differ > 0, differ - 1).otherwise(n).cast("int")
+def _repeated(rows: DataFrame, key: str, at: str, name: str) -> DataFrame:
+    """``rows`` (__doc, __hash, key, at) whose key occurs more than once, with ``first``: whether it is the first occurrence."""
+    place = F.struct(F.col("__doc").isNull().alias("none"), F.coalesce("__doc", F.lit(0)).alias("d"), F.col("__hash").alias("t"), F.col(at).alias("at"))
+    again = rows.groupBy(key).agg(F.count("*").alias("k"), F.min(place).alias("origin")).filter("k > 1").drop("k")
+    again = stored(again, name)  # a stored table has no partitioning to keep, so Spark may split a frequent key
+    return rows.join(again, key).withColumn("first", place.eqNullSafe(F.col("origin"))).drop("origin")
 
 
-def repeats(docs: DataFrame, run: int = RUN, gram: int = GRAM, reach: int = REACH) -> DataFrame:
+def repeats(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
     """__doc, __hash, runs (first and last line of the text, words): what is to be deleted from each document."""
     prints = stored(fingerprints(docs, run, gram), "fingerprints")
     picks = prints.select(*_D, F.inline("picks"))
-    place = F.struct(F.col("__doc").isNull().alias("none"), F.coalesce("__doc", F.lit(0)).alias("d"), F.col("__hash").alias("t"), "at")
-    again = picks.groupBy("g").agg(F.count("*").alias("k"), F.min(place).alias("origin")).filter("k > 1").drop("k")
-    again = stored(again, "repeated")  # a stored table has no partitioning to keep, so Spark may split a frequent fingerprint
-    found = picks.join(again, "g").select(*_D, "at", "g", place.eqNullSafe(F.col("origin")).alias("first"))
-    anchors = stored(_with_context(prints, found, reach), "anchors")
-    firsts = anchors.filter("first").select("g", F.col("__doc").alias("fd"), F.col("__hash").alias("ft"), F.col("after").alias("first_after"), F.col("back").alias("first_back"))
-    later = anchors.filter("not first").join(firsts, "g")
-    ahead, behind = _alike("after", "first_after"), _alike("back", "first_back")
-    spans = later.select(*_D, (F.col("at") - behind).alias("a"), (F.col("at") + ahead - 1).alias("b")).distinct()
+    runs_of = stored(stretches(prints, _repeated(picks, "g", "at", "repeated")), "stretches")
+    spans = _repeated(runs_of, "key", "a", "again").filter("not first").select(*_D, "a", "b")
     order = Window.partitionBy(*_D).orderBy("a", "b")
     reached = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("new", (reached.isNull() | (F.col("a") > reached + 1)).cast("int"))
@@ -95,10 +94,10 @@ def repeats(docs: DataFrame, run: int = RUN, gram: int = GRAM, reach: int = REAC
     both = prints.join(spans, F.col("__doc").eqNullSafe(F.col("__doc2")) & (F.col("__hash") == F.col("__hash2")))
     line = lambda at, name: F.element_at(F.col(f"lines.{name}"), at + 1)
     runs = F.transform("spans", lambda s: F.struct(line(s["a"], "pos").alias("first"), line(s["b"], "pos").alias("last"), (line(s["b"], "before") + line(s["b"], "w") - line(s["a"], "before")).alias("words")))
-    return both.select(*_D, F.filter(runs, lambda r: r["words"] >= run).alias("runs")).filter(F.size("runs") > 0)
+    return both.select(*_D, runs.alias("runs"))
 
 
-def dedup(docs: DataFrame, run: int = RUN, gram: int = GRAM, reach: int = REACH) -> DataFrame:
+def dedup(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
     """Delete later repeated runs of lines from ``docs`` (doc_id, text, maybe more columns).
 
     Every row stays, with its own columns, the text without the deleted lines, and line_runs: the
@@ -109,7 +108,7 @@ def dedup(docs: DataFrame, run: int = RUN, gram: int = GRAM, reach: int = REACH)
     """
     docs = docs.drop("line_runs")
     rows = keyed(docs)
-    runs = repeats(rows.select(*_D, "text"), run, gram, reach).select(F.col("__doc").alias("__doc2"), F.col("__hash").alias("__hash2"), F.col("runs").alias("__runs"))
+    runs = repeats(rows.select(*_D, "text"), run, gram).select(F.col("__doc").alias("__doc2"), F.col("__hash").alias("__hash2"), F.col("runs").alias("__runs"))
     rows = rows.join(runs, F.col("__doc").eqNullSafe(F.col("__doc2")) & (F.col("__hash") == F.col("__hash2")), "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.exists("__runs", lambda r: (i >= r["first"]) & (i <= r["last"])))
     text = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

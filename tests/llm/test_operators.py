@@ -356,6 +356,44 @@ def test_lines(spark, seed):
     assert any(x for x, _ in got.values()) and all(r["text"] is None for r in rows if r["doc_id"] == 41)
 
 
+def brute_gone(data, run=50):
+    """Lines of each document that lie in a run of ``run`` words or more with an earlier copy."""
+    gone, seen = {}, set()
+    for d, t in sorted((d, t or "") for d, t in data):
+        lines = [(i, x.strip(" "), len(WORD.findall(x))) for i, x in enumerate(t.split("\n")) if WORD.search(x)]
+        gone[d] = set()
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                if sum(w for _, _, w in lines[i:j]) >= run:
+                    key = tuple(x for _, x, _ in lines[i:j])
+                    if key in seen:
+                        gone[d] |= {k for k, _, _ in lines[i:j]}
+                    seen.add(key)
+    return gone
+
+
+def contexts(seed):
+    """Lines of 26 and 25 words, alone and in pairs: a fingerprint's first occurrence mostly stands elsewhere than its copies."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
+    data = []
+    for d in range(0, 90, 3):
+        x, y = (" ".join(word() for _ in range(n)) for n in (26, 25))
+        own = lambda: " ".join(word() for _ in range(rng.randint(1, 30)))
+        data += [(d, f"{x}\n{own()}\n{own()}"), (d + 1, f"{own()}\n{x}\n{y}\n{own()}"), (d + 2, f"{own()}\n{x}\n{y}\n{own()}")]
+    return data
+
+
+@pytest.mark.parametrize("data", [contexts(1), contexts(2), line_docs(4)], ids=["contexts", "contexts again", "passages"])
+def test_lines_gone_are_those_of_the_definition(spark, data):
+    rows = linededup.dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    got = {r["doc_id"]: {i for x in r["line_runs"] or [] for i in range(x["first"], x["last"] + 1)} for r in rows}
+    text = {d: (t or "").split("\n") for d, t in data}
+    assert {d: {i for i in x if WORD.search(text[d][i])} for d, x in got.items()} == brute_gone(data)
+    if data[-1][1]:  # line_docs also puts passages into passages: lines that come together only by a deletion are no run of the input
+        check_lines(data, {r["doc_id"]: ([(x["first"], x["last"]) for x in r["line_runs"] or []], r["text"] or "") for r in rows})
+
+
 def test_short_repeats_stay(spark):
     data = [(i, f"Licensed under the same terms.\nown words number {i} here\nThe end.") for i in range(20)]
     rows = linededup.dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()

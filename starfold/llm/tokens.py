@@ -3,10 +3,12 @@
 The vocabulary's rule splits a text into pre-tokens that are encoded independently of each other.
 Here the split is done by array operations over the code points of a block of texts, equal
 pre-tokens are found by a 64-bit hash, and the library encodes each distinct one once per worker.
+Texts that hold the literal of an added token go to the library whole.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 from itertools import repeat
@@ -67,7 +69,10 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        added = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
         # the byte alphabet of byte-level BPE: printable bytes stand for themselves, others follow from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
@@ -113,6 +118,22 @@ class Encoder:
 
     def encode(self, data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``data``: UTF-8 texts one after the other, ``ends``: where each ends. Returns all ids, each text's followed by 0, and where each ends."""
+        if not (self.added and self.added.search(data)):
+            return self._plain(data, ends)
+        bounds = [0, *ends.tolist()]
+        each = [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        held = [i for i, t in enumerate(each) if self.added.search(t)]
+        own = [self.whole.encode(each[i].decode("utf-8"), add_special_tokens=False).ids for i in held]
+        for i in held:
+            each[i] = b""
+        ids, stops = self._plain(b"".join(each), np.cumsum([len(t) for t in each]))
+        sizes = np.zeros(len(each), np.int64)
+        sizes[held] = [len(x) for x in own]
+        at = np.repeat(stops[held] - 1, sizes[held])  # before the 0 that ends the text
+        return np.insert(ids, at, np.array([x for found in own for x in found], ids.dtype)), stops + np.cumsum(sizes)
+
+    def _plain(self, data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without added tokens."""
         if len(self.known) > MOST_KEPT:
             self.clear()
         text = data.decode("utf-8")

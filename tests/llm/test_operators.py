@@ -524,6 +524,20 @@ def test_ids_are_the_librarys(tokenizer):
         at = end
 
 
+def test_ids_of_added_tokens(tokenizer):
+    from tokenizers import Tokenizer
+
+    plain, end = Tokenizer.from_file(tokenizer), "<|endoftext|>"
+    lists = [["x y", f"a {end} b", "", f"{end}{end}é", "  z", end], [end], ["<|endof", "text|>", ""], [f"{end} 's\n\n", f"don't{end}"], ["a", "b"]]
+    assert plain.encode(lists[0][1], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    codec = Encoder(tokenizer)
+    for texts in lists:
+        data = [t.encode() for t in texts]
+        ids, ends = codec.encode(b"".join(data), np.cumsum([len(x) for x in data]))
+        want = [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+        assert ids.tolist() == [x for w in want for x in w] and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+
+
 def test_plan_covers_the_histogram():
     rng = random.Random(8)
     for _ in range(3):

@@ -5,9 +5,10 @@
 2. The histogram of piece lengths, at most ``capacity`` rows, goes to the driver.
 3. A configuration linear program over the histogram (choose how often each filling of a sequence
    is used, so that every length is covered) is solved by multiplicative weights: a length's price
-   falls as it is covered, and the filling that is worth most under the prices is priced by an
-   knapsack recurrence. Multiplicities are rounded down, and what rounding leaves is packed best
-   fit, largest first, on the histogram.
+   falls as it is covered, and the filling that is worth most under the prices is found by a bounded
+   knapsack recurrence. Multiplicities are rounded down to whole numbers as they are chosen, until
+   every length is covered. What the fillings that are not full hold may be packed again best fit,
+   largest first, on the histogram.
 4. The plan, bounded by the capacity and not by the data, is broadcast; pieces find their place by
    their rank within their length.
 """
@@ -29,10 +30,10 @@ from starfold.llm.tokens import encoder
 
 CAPACITY = 2048
 CHUNK = 64
-STEPS = 400
-STEP = 0.5
+STEP = 1.0
 STRENGTH = 4.0
-SCALES = (1.0, 0.75, 0.5, 0.25)
+PRICED, LARGEST = 96, 32
+SHARES = (1.0, 0.75, 0.5, 0.25, 0.0)
 
 
 # --- tokenizing ---------------------------------------------------------------
@@ -72,9 +73,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
 
 @dataclass
 class Plan:
-    """How often each filling is used. A filling: lengths, largest first."""
+    """How often each filling is used. A filling: lengths, largest first. ``covered``: ids that the cover packs; whole sequences and best fit hold the others."""
 
     fillings: dict[tuple[int, ...], int] = field(default_factory=dict)
+    covered: int = 0
 
     def use(self, filling: tuple[int, ...], times: int) -> None:
         if times:
@@ -99,67 +101,79 @@ class Plan:
 
 
 def price(values: np.ndarray, sizes: np.ndarray, left: np.ndarray, capacity: int) -> dict[int, int]:
-    """The filling of the largest value, by dynamic programming over the capacity; at most ``left`` of each size."""
+    """The filling of the largest value with at most ``left`` of each size: a bounded knapsack, copies taken in powers of two."""
+    items = []
+    for k in range(len(sizes) - 1, -1, -1):
+        n, times = int(min(left[k], capacity // sizes[k])), 1
+        while n > 0:
+            times = min(times, n)
+            items.append((k, times, int(sizes[k]) * times, float(values[k]) * times))
+            n, times = n - times, 2 * times
     best = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1)
-    upto = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
-    for c in range(int(sizes[0]), capacity + 1):
-        got = best[c - sizes[: upto[c]]] + values[: upto[c]]
-        k = int(got.argmax())
-        if got[k] > best[c - 1]:
-            best[c], choice[c] = got[k], k
-        else:
-            best[c] = best[c - 1]
+    taken = np.zeros((len(items), capacity + 1), bool)
+    for row, (_, _, size, value) in enumerate(items):
+        got = best[: capacity + 1 - size] + value
+        np.greater(got, best[size:], out=taken[row, size:])
+        np.maximum(got, best[size:], out=best[size:])
     filling: dict[int, int] = {}
     c = capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-            continue
-        k = int(choice[c])
-        if filling.get(k, 0) < left[k]:
-            filling[k] = filling.get(k, 0) + 1
-        c -= int(sizes[k])
+    for row in range(len(items) - 1, -1, -1):
+        if taken[row, c]:
+            k, times, size, _ = items[row]
+            filling[k] = filling.get(k, 0) + times
+            c -= size
     return filling
 
 
-def fractions(counts: dict[int, int], capacity: int, steps: int = STEPS) -> dict[tuple[int, ...], float]:
-    """A fractional cover of the histogram by fillings, by multiplicative weights; no length is covered beyond its count."""
+def cover(counts: dict[int, int], capacity: int, steps: int | None = None) -> dict[tuple[int, ...], int]:
+    """A cover of the histogram by fillings, by multiplicative weights; it ends when every length is covered, or after ``steps``.
+
+    A filling is used in whole numbers, STEP of what the scarcest of its lengths allows but once at
+    least, so nothing is lost by rounding afterwards. PRICED lengths, the LARGEST and others drawn
+    with a fixed seed, are priced at first; more and then all, if the filling of those leaves room.
+    """
     sizes = np.array(sorted(counts))
-    need = np.array([counts[s] for s in sizes], float)
-    covered = np.zeros(len(sizes))
-    used: dict[tuple[int, ...], float] = {}
-    for _ in range(steps):
-        at = np.flatnonzero(covered < need * (1 - 1e-3))
-        if len(at) < 2:
-            break
-        weight = np.exp(-STRENGTH * covered[at] / need[at])
-        filling = price(sizes[at] * weight, sizes[at], np.ceil(need[at] - covered[at]), capacity)
-        step = STEP * min((need[at[k]] - covered[at[k]]) / n for k, n in filling.items())
+    need = np.array([counts[s] for s in sizes])
+    left, used, rng, done = need.copy(), {}, np.random.default_rng(7), 0
+    tries = (PRICED, 4 * PRICED, len(need))
+    while left.any() and (steps is None or done < steps):
+        every = np.flatnonzero(left)
+        draw = np.concatenate([every[::-1][:LARGEST], rng.permutation(every[::-1][LARGEST:])])  # the largest are the hardest to place
+        for most in tries:
+            at = np.sort(draw[:most])
+            weight = np.exp(STRENGTH * (left[at] / need[at] - 1))
+            filling = {int(at[k]): n for k, n in price(sizes[at] * weight, sizes[at], left[at], capacity).items()}
+            if sum(int(sizes[k]) * n for k, n in filling.items()) == capacity:
+                break
+        else:
+            tries = tries[-1:]  # what is left hardly fills a sequence any more: price all at once
+        times = max(1, int(STEP * min(left[k] // n for k, n in filling.items())))
         for k, n in filling.items():
-            covered[at[k]] += n * step
-        key = tuple(sorted((int(sizes[at[k]]) for k, n in filling.items() for _ in range(n)), reverse=True))
-        used[key] = used.get(key, 0) + step
+            left[k] -= n * times
+        key = tuple(sorted((int(sizes[k]) for k, n in filling.items() for _ in range(n)), reverse=True))
+        used[key] = used.get(key, 0) + times
+        done += 1
     return used
 
 
-def solve(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> Plan:
+def solve(counts: dict[int, int], capacity: int = CAPACITY, steps: int | None = None) -> Plan:
     """A plan that covers the histogram ``counts`` exactly.
 
-    The fractional cover is scaled by each of SCALES, rounded down and completed best fit; the plan
-    with the fewest sequences stays (the largest scale, among equals).
+    The whole cover is one plan; others keep one of SHARES of its full fillings, the first ones, and
+    pack the rest best fit. The plan with the fewest sequences is chosen, among equals the earlier.
     """
     left = {k: v for k, v in counts.items() if v > 0 and k < capacity}
-    used = fractions(left, capacity, steps) if len(left) > 1 else {}
+    used = cover(left, capacity, steps) if left else {}
     plans = []
-    for scale in SCALES:
+    whole = [f for f in used if sum(f) == capacity]
+    for own in (list(used), *(whole[: int(share * len(whole))] for share in SHARES)):
         plan, rest = Plan(), dict(left)
         plan.use((capacity,), counts.get(capacity, 0))
-        for filling, times in used.items():
-            fit = int(times * scale + 1e-9)
-            plan.use(filling, fit)
+        for filling in own:
+            plan.use(filling, used[filling])
+            plan.covered += sum(filling) * used[filling]
             for s in filling:
-                rest[s] -= fit
+                rest[s] -= used[filling]
         best_fit({k: v for k, v in rest.items() if v}, capacity, plan)
         plans.append(plan)
     return min(plans, key=lambda p: p.sequences)

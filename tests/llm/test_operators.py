@@ -559,6 +559,27 @@ def test_knapsack_is_exact():
     assert sum(values[k] * n for k, n in got.items()) == pytest.approx(best)
 
 
+def test_knapsack_is_bounded():
+    sizes, values, left = np.array([3, 5, 7, 11]), np.array([3.0, 5.5, 5.0, 9.1]), np.array([2, 1, 3, 1])
+    got = packing.price(values, sizes, left, 25)
+    best = max(sum(v * k for v, k in zip(values, ks, strict=True)) for ks in itertools.product(*(range(n + 1) for n in left)) if np.dot(ks, sizes) <= 25)
+    assert sum(values[k] * n for k, n in got.items()) == pytest.approx(best) and all(n <= left[k] for k, n in got.items())
+
+
+def test_cover_goes_on_to_the_end():
+    rng = random.Random(11)
+    counts = {n: rng.randint(1, 9) for n in range(1, 500)}
+    held = Counter()
+    for filling, times in packing.cover(counts, 500).items():
+        assert sum(filling) <= 500
+        for length in filling:
+            held[length] += times
+    assert held == Counter(counts)
+    plan, alone = packing.solve(counts, 500), packing.Plan()
+    packing.best_fit(dict(counts), 500, alone)
+    assert plan.sequences <= alone.sequences
+
+
 def test_pack(spark, awkward, empty, tokenizer):
     rows = table(packing.pack_documents(awkward, tokenizer))
     by = defaultdict(list)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 500_000
 
 
 def _valid(data: bytes) -> bool:

@@ -14,8 +14,10 @@ of similarity 0.75 or more are found exactly, and documents get the component th
    blocks: bounds from sizes and hub overlaps drop pairs that cannot link, and overlaps of the rest
    are again partial counts, range after range, summed per pair.
 
-So links inside a large group of near copies are never expanded, and no link between components is
-lost. No step holds all documents' n-grams, pairs or links in one task or on the driver.
+So links between members of the hub's component are never expanded; only members outside it meet the
+group, in blocks of a fixed size. No link between components is lost. No step holds all documents'
+n-grams, pairs or links in one task or on the driver. Sets that differ but have one 64-bit name are
+noticed by a second hash; all names are then made anew.
 """
 
 from __future__ import annotations
@@ -28,23 +30,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm._common import by_arrow, documents, stored
+from starfold.llm._common import by_arrow, documents, stored, whole_row
 from starfold.llm.blocks import texts
 from starfold.llm.shingles import sets
 
-FRAGMENTS = 32
-FRAGMENT_ENTRIES = 4_000_000
+#: Ranges of the order in step 1: so many at least, and entries of one (16 bytes each), about.
+FRAGMENTS = 8
+FRAGMENT_ENTRIES = 1_000_000
 PARTS = 16
 HALF = np.uint64(1 << 63)
 BLOOM_BITS_A_CLASS = 16
 BLOOM_MOST_BITS = 1 << 27
 BLOOM_HASHES = 4
-LEFT, RIGHT = 256, 2048
+PIECE_BITS = 1 << 16
+#: Members of a hub group that meet in one task, and their n-grams.
+LEFT, RIGHT, BLOCK_GRAMS = 128, 1024, 400_000
 
 
-def class_of(s: np.ndarray) -> int:
-    """A 64-bit name of a set; 0 for the empty one."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else 0
+def names_of(s: np.ndarray, seed: int = 0) -> tuple[int, int]:
+    """A 64-bit name of a set, and a second hash that tells whether two sets have one name; 0 for the empty one."""
+    if not len(s):
+        return 0, 0
+    digest = hashlib.blake2b(s.tobytes(), digest_size=16, salt=seed.to_bytes(8, "little")).digest()
+    return tuple(int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8))
+
+
+def class_of(s: np.ndarray, seed: int = 0) -> int:
+    return names_of(s, seed)[0]
 
 
 def lower_half(s: np.ndarray) -> np.ndarray:
@@ -52,20 +64,21 @@ def lower_half(s: np.ndarray) -> np.ndarray:
     return s[: np.searchsorted(s, HALF)]
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the set), low (of these, in the lower half of the order), cls for every row of ``docs``."""
+def classes(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """doc_id, n (size of the set), low (of these, in the lower half of the order), cls, proof (second hash) for every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own, data, ends in texts(batch, "text"):
                 got = sets(data, ends)
-                columns = [[len(s) for s in got], [len(lower_half(s)) for s in got], [class_of(s) for s in got]]
-                yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "n", "low", "cls"])
+                names = [names_of(s, seed) for s in got]
+                columns = [[len(s) for s in got], [len(lower_half(s)) for s in got], [x for x, _ in names], [y for _, y in names]]
+                yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "n", "low", "cls", "proof"])
 
-    return by_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, low long, cls long")
+    return by_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, low long, cls long, proof long")
 
 
-def shared_counts(docs: DataFrame, fragments: int) -> DataFrame:
+def shared_counts(docs: DataFrame, fragments: int, seed: int = 0) -> DataFrame:
     """(cls, shared): of the n-grams of each class in the lower half of the order, how many some other class has too.
 
     N-grams that classes of one block of texts share are counted there; only one entry, without a
@@ -81,7 +94,7 @@ def shared_counts(docs: DataFrame, fragments: int) -> DataFrame:
                 own: dict[int, np.ndarray] = {}
                 for s in sets(data, ends):
                     if len(s):
-                        own.setdefault(class_of(s), lower_half(s))
+                        own.setdefault(class_of(s, seed), lower_half(s))
                 if not own:
                     continue
                 name = np.repeat(np.array(list(own), np.int64), [len(s) for s in own.values()])
@@ -129,7 +142,7 @@ def shared_counts(docs: DataFrame, fragments: int) -> DataFrame:
     return made.groupBy("frag").applyInArrow(count, "cls long, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
 
 
-def surviving_sets(docs: DataFrame, names: DataFrame) -> DataFrame:
+def surviving_sets(docs: DataFrame, names: DataFrame, seed: int = 0) -> DataFrame:
     """(cls, n, grams) of the classes in ``names``, one row each.
 
     The scan passes a set on if the bit set may hold its class; the join drops the rest.
@@ -146,13 +159,15 @@ def surviving_sets(docs: DataFrame, names: DataFrame) -> DataFrame:
                 own: dict[int, np.ndarray] = {}
                 for s in sets(data, ends):
                     if len(s):
-                        c = class_of(s)
+                        c = class_of(s, seed)
                         if all(words[b >> 5] >> (b & 31) & 1 for b in places_of(c, bits)):
                             own.setdefault(c, s)
                 yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([len(s) for s in own.values()], pa.int64()), pa.array([s.astype(np.int64) for s in own.values()], pa.list_(pa.int64()))], names=["cls", "n", "grams"])
 
     found = by_arrow(every, run, "cls long, n long, grams array<long>")
-    return stored(found.join(names.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    out = stored(found.join(names.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    shared.destroy()
+    return out
 
 
 def places_of(c: int, bits: int) -> list[int]:
@@ -169,11 +184,18 @@ def bloom(names: DataFrame, n: int) -> np.ndarray:
     bits = min(BLOOM_MOST_BITS, max(1 << 16, 1 << (n * BLOOM_BITS_A_CLASS).bit_length()))
     a, b = "(cls & 4294967295L)", "(shiftrightunsigned(cls, 32) | 1L)"
     places = F.expr("explode(array(" + ", ".join(f"({a} + {i}L * {b}) % {bits}L" for i in range(BLOOM_HASHES)) + "))").alias("bit")
-    words = names.select(places).select(F.expr("bit div 32").alias("word"), F.expr("shiftleft(1L, cast(bit % 32 as int))").alias("one"))
-    words = words.groupBy("word").agg(F.bit_or("one").alias("bits")).collect()
+    names = names.select(places).select(F.expr(f"bit div {PIECE_BITS}").alias("piece"), F.expr(f"cast(bit % {PIECE_BITS} as int)").alias("at"))
+
+    def pieces(t: pa.Table) -> pa.Table:
+        bits_of = np.zeros(PIECE_BITS, np.uint8)
+        bits_of[t.column("at").to_numpy()] = 1
+        words = np.packbits(bits_of, bitorder="little").tobytes()
+        return pa.table({"piece": pa.array([t.column("piece")[0].as_py()], pa.int64()), "words": pa.array([words], pa.binary())})
+
     out = np.zeros(bits // 32, np.uint32)
-    if words:
-        out[np.array([r["word"] for r in words], np.int64)] = np.array([r["bits"] for r in words], np.int64).astype(np.uint32)
+    for r in names.distinct().groupBy("piece").applyInArrow(pieces, "piece long, words binary").collect():  # BLOOM_MOST_BITS at most
+        at = r["piece"] * PIECE_BITS // 32
+        out[at : at + PIECE_BITS // 32] = np.frombuffer(r["words"], np.uint32)
     return out
 
 
@@ -239,11 +261,14 @@ def rest_links(groups: DataFrame, own: DataFrame) -> DataFrame:
     """Links (a, b) between components inside hub groups.
 
     ``groups``: (hub, cls, n, q, overlap, root, hub_root). Members outside the hub's component
-    meet all members, block by block; a task holds LEFT of the ones and RIGHT of the others.
+    meet all members, block by block; a task holds LEFT of the ones and RIGHT of the others, or fewer
+    if these have more than BLOCK_GRAMS n-grams.
     """
     out = groups.filter(F.col("root") != F.col("hub_root"))
-    sizes = groups.groupBy("hub").agg(F.count("*").alias("members")).join(out.groupBy("hub").agg(F.count("*").alias("outside")), "hub")
-    n_left, n_right = F.ceil(F.col("outside") / LEFT).cast("int"), F.ceil(F.col("members") / RIGHT).cast("int")
+    sizes = groups.groupBy("hub").agg(F.count("*").alias("members"), F.sum("n").alias("grams"))
+    sizes = sizes.join(out.groupBy("hub").agg(F.count("*").alias("outside"), F.sum("n").alias("outside_grams")), "hub")
+    n_left = F.ceil(F.greatest(F.col("outside") / LEFT, F.col("outside_grams") / BLOCK_GRAMS)).cast("int")
+    n_right = F.ceil(F.greatest(F.col("members") / RIGHT, F.col("grams") / BLOCK_GRAMS)).cast("int")
     sized = sizes.select("hub", n_left.alias("n_left"), n_right.alias("n_right"))
     left = out.join(sized, "hub").withColumn("i", F.pmod(F.xxhash64("cls", F.lit(1)), "n_left").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_right") - 1)))
     right = groups.join(sized, "hub").withColumn("j", F.pmod(F.xxhash64("cls", F.lit(2)), "n_right").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_left") - 1)))
@@ -308,16 +333,22 @@ def block_links(a: _Members, b: _Members) -> list[tuple[int, int]]:
     return list(seen.values())
 
 
-def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, cls) of every row and (cls, root) of the classes that have links; both stored."""
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, n, cls) of every row and (cls, root) of the classes that have links, both stored, and the seed of cls."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stored(classes(docs), "classes")
-    names = rows.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("low").alias("low"))
-    total = names.agg(F.sum("low")).first()[0] or 0
-    counts = shared_counts(docs, max(FRAGMENTS, -(-total // FRAGMENT_ENTRIES)))
+    seed = 0
+    while True:
+        rows = stored(classes(docs, seed), "classes")
+        names = rows.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("low").alias("low"), (F.min("proof") != F.max("proof")).alias("twice"))
+        names = stored(names, "names")
+        if not names.filter("twice").limit(1).count():
+            break
+        seed += 1  # two sets have one name: other names
+    sent = rows.agg(F.sum("low")).first()[0] or 0  # entries of all rows, since each block sends its own
+    counts = shared_counts(docs, max(FRAGMENTS, -(-sent // FRAGMENT_ENTRIES)), seed)
     shared = F.coalesce("shared", F.lit(0))
     alive = stored(names.join(counts, "cls", "left").filter(shared >= F.col("low") - F.expr("n div 4")).select("cls"), "alive")
-    own = surviving_sets(docs, alive)
+    own = surviving_sets(docs, alive, seed)
     _, entries = prefixes(own)
     pairs = stored(overlaps(stored(hub_pairs(entries), "pairs"), own), "overlaps")
     links = pairs.filter(100 * F.col("overlap") >= 75 * (F.col("n") + F.col("hub_n") - F.col("overlap"))).select(F.col("cls").alias("a"), F.col("hub").alias("b"))
@@ -325,7 +356,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = members(pairs, roots)
     more = rest_links(groups, own)
     both = stored(links.unionByName(more.select("a", "b")), "links")
-    return rows, components(both).select(F.col("node").alias("cls"), "root")
+    return rows.select("doc_id", "n", "cls"), components(both).select(F.col("node").alias("cls"), "root"), seed
 
 
 def members(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -344,9 +375,10 @@ def join(docs: DataFrame) -> DataFrame:
 
     component_id is the least doc_id of the documents that links reach. Null and empty texts have no
     shingles, link with nothing and stand for themselves; null ids count in a component but don't
-    name it, unless it has no other; repeated rows are copies like others.
+    name it, unless it has no other; repeated rows are copies like others. Long texts are read in
+    slices (see shingles); an empty table gives no rows; other columns are ignored.
     """
-    rows, roots = linked(docs)
+    rows, roots, _ = linked(docs)
     some = rows.filter("n > 0").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     # stored tables have no partitioning to keep, so Spark may split the rows of a large component
     least = stored(some.groupBy("root").agg(F.min("doc_id").alias("component_id")), "components")
@@ -355,33 +387,35 @@ def join(docs: DataFrame) -> DataFrame:
     return some.unionByName(none)
 
 
-def named(docs: DataFrame) -> DataFrame:
-    """Adds the class of its text to every row of ``docs``, as __cls."""
+def named(docs: DataFrame, seed: int) -> DataFrame:
+    """The class of its text for every row of ``docs`` (doc, row: a struct with the text): doc, row, cls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own, data, ends in texts(batch, "text"):
-                got = pa.array([class_of(s) for s in sets(data, ends)], pa.int64())
-                yield pa.RecordBatch.from_arrays([*own.columns, got], names=[*own.schema.names, "__cls"])
+                got = pa.array([class_of(s, seed) for s in sets(data, ends)], pa.int64())
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), got], names=["doc", "row", "cls"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return by_arrow(docs, run, f"{kinds}, __cls long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), whole_row(docs).alias("row"), "text")
+    return by_arrow(rows, run, f"doc long, row {rows.schema['row'].dataType.simpleString()}, cls long")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, maybe more columns) with one row of each component: its least doc_id's, null last.
 
-    Rows without shingles all stay. Of rows equal in doc_id and set, one stays. Names that begin with
-    two underscores are taken.
+    Rows without shingles (null, empty and blank texts) all stay. Of rows equal in doc_id and set, one
+    stays. An empty table gives no rows.
     """
-    rows, roots = linked(docs)
+    rows, roots, seed = linked(docs)
     some = rows.filter("n > 0").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     best = some.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls")).alias("b"))
-    best = best.select(F.col("b.doc_id").alias("__doc"), F.col("b.cls").alias("__best"))
-    every = named(docs)
-    first = every.filter("__cls != 0").dropDuplicates(["doc_id", "__cls"])
-    first = first.join(best, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__cls") == F.col("__best")), "left_semi")
-    return first.unionByName(every.filter("__cls = 0")).select(*docs.columns)
+    known = [F.col("doc").isNull().alias("none"), F.coalesce("doc", F.lit(0)).alias("id"), "cls"]
+    best = stored(best.select(F.col("b.doc_id").alias("doc"), "b.cls").select(*known), "best")
+    every = named(docs, seed)
+    # texts are shuffled once: the join and what follows it deal rows by the same keys
+    first = every.filter("cls != 0").select("row", *known).join(best, ["none", "id", "cls"], "left_semi")
+    first = first.dropDuplicates(["none", "id", "cls"]).select("row.*")
+    return first.unionByName(every.filter("cls = 0").select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Term frequency is relative to the document's n-grams, inverse document frequency comes from the
 sample. Weights are learnt by follow-the-regularised-leader with elastic-net penalties, and one
-temperature is then fitted on a part of the sample that the weights have not seen. Learning uses at
-most about SAMPLE rows; prediction uses every whole text.
+temperature is then fitted on a part of the sample that the weights have not seen. Learning uses
+about SAMPLE rows at most, each language's share of them as even as its rows allow; prediction uses
+every whole text.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starfold.llm._common import by_arrow, documents
-from starfold.llm.ngrams import grams, held_out, learnt_from, letters, parts, sample
+from starfold.llm.ngrams import grams, held_out, letters, parts, sample
 
 ORDERS = (1, 2, 3)
 BITS = 16
@@ -30,9 +31,13 @@ def _features(rows: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, points, doc in parts(batch):
-                got = [(row << BITS) | slot for slot, row in grams(points, doc, ORDERS, BITS)]
-                both, n = np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            for own, windows in parts(batch, max(ORDERS) - 1):
+                both, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                for points, doc, seen in windows:
+                    got = [(row << BITS) | slot for slot, row in grams(points, doc, ORDERS, BITS, seen)]
+                    found, times = np.unique(np.concatenate(got), return_counts=True) if got else (both[:0], n[:0])
+                    both, at = np.unique(np.concatenate([both, found]), return_inverse=True)
+                    n = np.bincount(at, np.concatenate([n, times]), len(both)).astype(np.int64)
                 at = np.searchsorted(both >> BITS, np.arange(1, own.num_rows))
                 slots = [x.astype("<i4").tobytes() for x in np.split(both & ((1 << BITS) - 1), at)]
                 counts = [x.astype("<i4").tobytes() for x in np.split(n, at)]
@@ -47,8 +52,15 @@ def _features(rows: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
 
 
 class Model:
-    def __init__(self, names: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float = 1.0):
-        self.names, self.weights, self.bias, self.temperature = names, weights, bias, temperature  # weights hold the idf
+    """``rows``: the n-grams that have weights, ``weights``: theirs for each language (they hold the idf)."""
+
+    def __init__(self, names: list[str], rows: np.ndarray, weights: np.ndarray, bias: np.ndarray, temperature: float = 1.0):
+        self.names, self.rows, self.weights, self.bias, self.temperature = names, rows, weights, bias, temperature
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros((1 << BITS, max(len(self.names), 1)))
+        out[self.rows] = self.weights
+        return out
 
     def chances(self, raw: np.ndarray) -> np.ndarray:
         z = (raw + self.bias) / self.temperature
@@ -60,7 +72,7 @@ def fit(made: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 3) -> Model:
     names = sorted({x[0] for x in made})
     k, size = len(names), 1 << BITS
     if k < 2:
-        return Model(names, np.zeros((size, max(k, 1))), np.zeros(max(k, 1)))
+        return Model(names, np.zeros(0, np.int64), np.zeros((0, max(k, 1))), np.zeros(max(k, 1)))
     df = np.zeros(size)
     for _, slots, _ in made:
         df[slots] += 1
@@ -88,47 +100,61 @@ def fit(made: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 3) -> Model:
             z[rows] += slope - step * w
             n[rows] += slope**2
     w = weights(np.arange(size + 1))
-    model = Model(names, w[:-1] * idf[:, None] * 10, w[-1])
-    raw = np.array([made[i][2] @ model.weights[made[i][1]] for i in kept])
+    full = w[:-1] * idf[:, None] * 10
+    held = np.flatnonzero((full != 0).any(1))
+    model = Model(names, held, full[held], w[-1])
+    raw = np.array([made[i][2] @ full[made[i][1]] for i in kept])
     right = np.array([names.index(made[i][0]) for i in kept])
 
     def loss(t: float) -> float:
-        return -np.log(Model(names, w, model.bias, t).chances(raw)[np.arange(len(right)), right] + 1e-12).mean()
+        return -np.log(Model(names, held, full[held], model.bias, t).chances(raw)[np.arange(len(right)), right] + 1e-12).mean()
 
     model.temperature = min((float(t) for t in np.geomspace(0.1, 10, 81)), key=loss)
     return model
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred and lang_score to ``docs``; without a letter, or with nothing learnt: `und` and 0. Columns of these names are replaced."""
-    docs = docs.drop("lang_pred", "lang_score")
+def predict(docs: DataFrame, model: Model, name: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """Adds the language and its chance to every row of ``docs``, as columns of these names, which must be new.
+
+    Null and empty texts, those without a letter, and all if nothing was learnt: `und` and 0. Null ids
+    and repeated rows are rows like others; ties go to the first language by name; long texts are
+    looked at in windows; an empty table gives no rows.
+    """
+    if taken := {name, score} & set(docs.columns):
+        raise ValueError(f"there are columns {sorted(taken)} already")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        weights = np.ascontiguousarray(m.dense().T)
         names = np.array([*m.names, UNKNOWN], object)
         for batch in batches:
-            for own, points, doc in parts(batch):
+            for own, windows in parts(batch, max(ORDERS) - 1):
                 n = own.num_rows
-                raw, total = np.zeros((n, m.weights.shape[1])), np.zeros(n)
-                for slot, row in grams(points, doc, ORDERS, BITS):
-                    total += np.bincount(row, minlength=n)
-                    for c in range(raw.shape[1]):
-                        raw[:, c] += np.bincount(row, m.weights[:, c][slot], n)
+                raw, total, known = np.zeros((n, len(weights))), np.zeros(n), np.zeros(n, bool)
+                for points, doc, seen in windows:
+                    for slot, row in grams(points, doc, ORDERS, BITS, seen):
+                        total += np.bincount(row, minlength=n)
+                        for c, w in enumerate(weights):
+                            raw[:, c] += np.bincount(row, w[slot], n)
+                    known |= letters(points, doc, n)
                 chance = m.chances(raw / np.maximum(total, 1)[:, None])
-                known = letters(points, doc, n) & (len(m.names) > 0)
+                known &= len(m.names) > 0
                 best = np.where(known, chance.argmax(1), len(m.names))
                 got = np.round(np.where(known, chance.max(1), 0.0), 9)
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(names[best], pa.string()), pa.array(got)], names=[*own.schema.names, "lang_pred", "lang_score"])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(names[best], pa.string()), pa.array(got)], names=[*own.schema.names, name, score])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return by_arrow(docs, run, f"{kinds}, lang_pred string, lang_score double")
+    return by_arrow(docs, run, f"{kinds}, `{name}` string, `{score}` double")
 
 
 def learn(docs: DataFrame, most: int = SAMPLE) -> Model:
-    """Learn from rows of ``docs`` (doc_id, text, lang) that are not held out and have a language."""
-    chosen = sample(docs.select("doc_id", "lang"), "lang", most)
-    return fit(_features(learnt_from(docs, chosen, "lang")))
+    """Learn from rows of ``docs`` (doc_id, text, lang) that are not held out and have a language.
+
+    Null ids are left out; null texts are empty; repeated ids count once, with the last of their
+    languages by name. An empty table teaches nothing.
+    """
+    return fit(_features(sample(docs, docs.select("doc_id", "lang"), "lang", most)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,16 +19,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starfold.llm._common import WORD, documents, stored
+from starfold.llm._common import WORD, documents, stored, unused, whole_row
 
 RUN = 50
 GRAM = 25
 _D = ["__doc", "__hash"]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame) -> list[Column]:
     """doc_id and a hash of the text name a document; rows equal in both are one document."""
-    return docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("text", F.length("text")))
+    return [F.col("doc_id").cast("long").alias("__doc"), F.xxhash64("text", F.length("text")).alias("__hash")]
 
 
 def fingerprints(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
@@ -97,22 +97,26 @@ def repeats(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
     return both.select(*_D, runs.alias("runs"))
 
 
-def dedup(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+def dedup(docs: DataFrame, run: int = RUN, gram: int = GRAM, name: str = "line_runs") -> DataFrame:
     """Delete later repeated runs of lines from ``docs`` (doc_id, text, maybe more columns).
 
-    Every row stays, with its own columns, the text without the deleted lines, and line_runs: the
-    deleted runs (first, last: line numbers from 0; words). Null and empty texts, and texts of fewer
-    than ``run`` words, stay as they are. Null ids come last in the order. Rows equal in doc_id and
-    text are one document: what is deleted from one is deleted from all. A column line_runs of
-    ``docs`` is replaced; names that begin with two underscores are taken.
+    Every row stays, with its own columns, the text without the deleted lines, and a column ``name``,
+    which must be new: the deleted runs (first, last: line numbers from 0; words), null if there are
+    none. Null and empty texts, and texts of fewer than ``run`` words, stay as they are. Null ids come
+    last in the order. Rows equal in doc_id and text are one document: what is deleted from one is
+    deleted from all. Of one id's different texts the order is that of their hashes. An empty table
+    gives no rows.
     """
-    docs = docs.drop("line_runs")
-    rows = keyed(docs)
-    runs = repeats(rows.select(*_D, "text"), run, gram).select(F.col("__doc").alias("__doc2"), F.col("__hash").alias("__hash2"), F.col("runs").alias("__runs"))
+    if unused(docs, name) != name:
+        raise ValueError(f"there is a column {name!r} already")
+    runs = repeats(docs.select(*keyed(docs), "text"), run, gram).select(F.col("__doc").alias("__doc2"), F.col("__hash").alias("__hash2"), F.col("runs").alias("__runs"))
+    rows = docs.select(*keyed(docs), whole_row(docs).alias("__row"))
     rows = rows.join(runs, F.col("__doc").eqNullSafe(F.col("__doc2")) & (F.col("__hash") == F.col("__hash2")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.exists("__runs", lambda r: (i >= r["first"]) & (i <= r["last"])))
-    text = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return rows.withColumn("text", text).withColumnRenamed("__runs", "line_runs").select(*docs.columns, "line_runs")
+    text = F.col("__row.text")
+    kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.exists("__runs", lambda r: (i >= r["first"]) & (i <= r["last"])))
+    text = F.when(F.col("__runs").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    rows = rows.select(F.col("__row").withField("text", text).alias("__row"), F.col("__runs"))
+    return rows.select("__row.*", F.col("__runs").alias(name))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,3 +124,39 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.array_join(F.transform("line_runs", lambda r: F.concat_ws("-", r["first"].cast("string"), r["last"].cast("string"))), ",")
     deleted = F.coalesce(F.aggregate("line_runs", F.lit(0).cast("long"), lambda a, r: a + r["words"]), F.lit(0).cast("long"))
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size("line_runs"), F.lit(0)).cast("long").alias("n_runs"), deleted.alias("words_deleted"), F.coalesce(spans, F.lit("")).alias("runs"), "text")
+
+
+#: The definition itself: whole runs of lines as keys, no fingerprints and no hashes. Ids are taken to be unique.
+ORACLE = r"""
+WITH cut AS (
+  SELECT doc_id, string_split(text, chr(10)) AS raw FROM documents WHERE text IS NOT NULL),
+every AS (
+  SELECT doc_id, unnest(range(len(raw))) AS pos, unnest(raw) AS line FROM cut),
+rows AS (
+  SELECT doc_id, pos, trim(line, ' ') AS line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM every),
+lines AS (
+  SELECT *, row_number() OVER d AS i, sum(w) OVER (d ROWS UNBOUNDED PRECEDING) AS upto FROM rows WHERE w > 0
+  WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+docs AS (
+  SELECT doc_id, list(line ORDER BY i) AS ls, list(upto ORDER BY i) AS us FROM lines GROUP BY doc_id),
+ends AS (
+  SELECT doc_id, a, a + len(list_filter(us[a:], lambda u: u < us[a] - w + 50)) AS b FROM lines JOIN docs USING (doc_id), LATERAL (SELECT i AS a)
+  UNION ALL
+  SELECT doc_id, len(list_filter(us, lambda u: u <= us[b] - 50)) + 1, b FROM lines JOIN docs USING (doc_id), LATERAL (SELECT i AS b) WHERE us[b] >= 50),
+runs AS (
+  SELECT DISTINCT e.doc_id, a, b, array_to_string(ls[a:b], chr(10)) AS key FROM ends e JOIN docs USING (doc_id) WHERE b <= len(ls)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS LAST, a) AS k FROM runs) WHERE k > 1),
+marked AS (
+  SELECT l.*, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM lines l SEMI JOIN gone USING (doc_id, i)),
+spans AS (
+  SELECT doc_id, min(pos) AS first, max(pos) AS last, sum(w) AS words FROM marked GROUP BY doc_id, island),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, sum(words) AS words, string_agg(first || '-' || last, ',' ORDER BY first) AS runs FROM spans GROUP BY doc_id),
+kept AS (
+  SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY pos) AS text FROM every e
+  WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc_id = e.doc_id AND e.pos BETWEEN s.first AND s.last) GROUP BY e.doc_id)
+SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(coalesce(words, 0) AS BIGINT) AS words_deleted, coalesce(runs, '') AS runs,
+       CASE WHEN n_runs IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text
+FROM documents d LEFT JOIN listed l ON d.doc_id = l.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""

@@ -28,8 +28,15 @@ def lower() -> np.ndarray:
     return out
 
 
-def grams(points: np.ndarray, doc: np.ndarray, orders: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order: (slot, document) of all n-grams that lie within one document. Lower-cased."""
+#: A longer text is looked at in windows of about so many bytes.
+WINDOW = 1_000_000
+
+
+def grams(points: np.ndarray, doc: np.ndarray, orders: tuple[int, ...], bits: int, seen: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order: (slot, document) of all n-grams that lie within one document. Lower-cased.
+
+    ``seen``: so many code points at the start belong to the window before; n-grams inside them are left out.
+    """
     x = lower()[points].astype(np.uint64) + np.uint64(1)
     key = np.zeros(len(x) + 1, np.uint64)
     for n in range(1, max(orders) + 1):
@@ -38,20 +45,44 @@ def grams(points: np.ndarray, doc: np.ndarray, orders: tuple[int, ...], bits: in
         key = key[: len(x) - n + 1] * _STEP + x[n - 1 :]
         if n in orders:
             whole = doc[: len(key)] == doc[n - 1 :]
+            whole[: max(0, seen - n + 1)] = False
             mixed = key[whole] + np.uint64(n)
             mixed ^= mixed >> np.uint64(29)
             yield ((mixed * _MIX) >> np.uint64(64 - bits)).astype(np.int64), doc[: len(key)][whole]
 
 
-def parts(batch: pa.RecordBatch, size: int = 500_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, code points of their texts, the row of each code point)."""
+def _points(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    points = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), np.uint32)
+    if len(points) == len(data):
+        stops = ends
+    else:
+        stops = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])[ends]
+    return points, np.repeat(np.arange(len(ends)), np.diff(stops, prepend=0))
+
+
+def _windows(data: bytes, ends: np.ndarray, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(code points, row of each, how many of them the window before had too)."""
+    if len(ends) > 1 or len(data) <= 2 * WINDOW:
+        yield *_points(data, ends), 0
+        return
+    a, before = 0, np.zeros(0, np.uint32)  # one long text
+    while a < len(data):
+        b = min(len(data), a + WINDOW)
+        while b < len(data) and data[b] & 0xC0 == 0x80:
+            b += 1
+        own = np.concatenate([before, _points(data[a:b], np.array([b - a]))[0]])
+        yield own, np.zeros(len(own), np.int64), len(before)
+        a, before = b, own[len(own) - min(overlap, len(own)) :]
+
+
+def parts(batch: pa.RecordBatch, overlap: int, size: int = 250_000) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[np.ndarray, np.ndarray, int]]]]:
+    """(rows, windows over their texts: code points, the row of each, how many the window before had too).
+
+    Short texts are one window together; a long one has windows of its own that overlap, so memory does
+    not grow with its n-grams.
+    """
     for rows, data, ends in texts(batch, "text", size):
-        points = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), np.uint32)
-        if len(points) == len(data):
-            stops = ends
-        else:
-            stops = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])[ends]
-        yield rows, points, np.repeat(np.arange(len(ends)), np.diff(stops, prepend=0))
+        yield rows, _windows(data, ends, overlap)
 
 
 def letters(points: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -68,17 +99,30 @@ def held_out() -> Column:
     return F.coalesce(remainder() == 1, F.lit(False))
 
 
-def sample(rows: DataFrame, label: str, most: int) -> DataFrame:
-    """About ``most`` of ``rows`` (doc_id, label), chosen by a hash of doc_id: all, if there are fewer. Few enough to broadcast."""
-    rows = rows.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
-    rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias(label))
-    rows = stored(rows, "labelled")
-    n = rows.count()
-    share = 1.0 if n <= most else most / n
-    return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000))
-
+def sample(docs: DataFrame, rows: DataFrame, label: str, most: int, tasks: int = 6) -> DataFrame:
+    """(text, label) of at most ``most`` labelled rows of ``docs``, in a stored table of few partitions.
 
-def learnt_from(docs: DataFrame, chosen: DataFrame, label: str, tasks: int = 6) -> DataFrame:
-    """Texts of the sample, in a stored table of few partitions."""
-    pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    return stored(pairs.select("doc_id", "text", F.col(label).alias("label")).repartition(tasks, "doc_id"), "sample")
+    ``rows``: (doc_id, label); null ids and labels and rows held out are left out, an id's label is its
+    largest and its text the least of its texts, so repeated rows count once. Up to ``most`` ids all
+    are learnt from. Beyond, every label has the same quota, and what a rare label leaves free goes to
+    the others (labels beyond the ``most`` commonest are not learnt). A hash of the id decides, so the
+    number of rows is ``most`` but for chance. An empty table gives none.
+    """
+    rows = rows.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
+    rows = rows.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label).alias("label"))
+    # only ids that have a text here; counted copies, so that repeated rows do not meet
+    here = docs.select(F.col("doc_id").cast("long").alias("id")).filter("id IS NOT NULL").distinct()
+    rows = stored(rows.join(here, "id", "left_semi"), "labelled")
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(most).collect()
+    share, left = [], most
+    for k, (name, n) in enumerate(reversed([(r["label"], r["n"]) for r in sizes])):
+        quota = left // (len(sizes) - k)
+        share.append((name, min(1.0, quota / n)))
+        left -= min(n, quota)
+    kind = rows.schema["label"].dataType.simpleString()
+    parts_of = docs.sparkSession.createDataFrame(share, f"name {kind}, part double")
+    chosen = rows.join(F.broadcast(parts_of), F.col("label") == F.col("name"))  # one row for each label, ``most`` at most
+    chosen = chosen.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < F.col("part") * 1_000_000).select("id", "label")
+    named = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id")  # about ``most`` rows
+    named = named.groupBy("id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return stored(named.select("text", "label").repartition(tasks, F.xxhash64("text")), "sample")

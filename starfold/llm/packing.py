@@ -5,10 +5,11 @@
 2. The histogram of piece lengths, at most ``capacity`` rows, goes to the driver.
 3. A configuration linear program over the histogram (choose how often each filling of a sequence
    is used, so that every length is covered) is solved by multiplicative weights: a length's price
-   falls as it is covered, and the filling that is worth most under the prices is found by a bounded
-   knapsack recurrence. Multiplicities are rounded down to whole numbers as they are chosen, until
-   every length is covered. What the fillings that are not full hold may be packed again best fit,
-   largest first, on the histogram.
+   rises while it is covered less than the others, and the filling that is worth most under the
+   prices is found by a bounded knapsack recurrence, among those that leave no room if there are any.
+   Multiplicities are rounded down to whole numbers as they are chosen, until every length is
+   covered. Where best fit packs what the last fillings hold in fewer sequences, it does so: on a
+   large table that is under a hundredth of the pieces. Prices also give a lower bound (``bound``).
 4. The plan, bounded by the capacity and not by the data, is broadcast; pieces find their place by
    their rank within their length.
 """
@@ -30,10 +31,12 @@ from starfold.llm.tokens import encoder
 
 CAPACITY = 2048
 CHUNK = 64
-STEP = 1.0
-STRENGTH = 4.0
-PRICED, LARGEST = 96, 32
-SHARES = (1.0, 0.75, 0.5, 0.25, 0.0)
+#: Of the prices: how strongly they follow what is not covered yet, and how much more long pieces weigh.
+STRENGTH, LONG = 4.0, 2.0
+#: Lengths that one recurrence looks at, drawn by price, and copies of each.
+PRICED, COPIES = 384, 3
+#: Shares of the fillings that plans keep; the rest is best fit.
+SHARES = (1.0, 0.95, 0.9, 0.75, 0.5, 0.0)
 
 
 # --- tokenizing ---------------------------------------------------------------
@@ -73,10 +76,16 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
 
 @dataclass
 class Plan:
-    """How often each filling is used. A filling: lengths, largest first. ``covered``: ids that the cover packs; whole sequences and best fit hold the others."""
+    """How often each filling is used. A filling: lengths, largest first.
+
+    ``covered``, ``fitted``: pieces shorter than a sequence that the program's fillings and best fit
+    hold; ``bound``: no packing has fewer sequences.
+    """
 
     fillings: dict[tuple[int, ...], int] = field(default_factory=dict)
     covered: int = 0
+    fitted: int = 0
+    bound: int = 0
 
     def use(self, filling: tuple[int, ...], times: int) -> None:
         if times:
@@ -100,8 +109,12 @@ class Plan:
         return out
 
 
-def price(values: np.ndarray, sizes: np.ndarray, left: np.ndarray, capacity: int) -> dict[int, int]:
-    """The filling of the largest value with at most ``left`` of each size: a bounded knapsack, copies taken in powers of two."""
+def price(values: np.ndarray, sizes: np.ndarray, left: np.ndarray, capacity: int) -> tuple[dict[int, int], int]:
+    """The filling of the largest value with at most ``left`` of each size, and the room it leaves.
+
+    Fillings that leave no room come before others; among others value decides. Copies are taken in
+    powers of two.
+    """
     items = []
     for k in range(len(sizes) - 1, -1, -1):
         n, times = int(min(left[k], capacity // sizes[k])), 1
@@ -109,74 +122,100 @@ def price(values: np.ndarray, sizes: np.ndarray, left: np.ndarray, capacity: int
             times = min(times, n)
             items.append((k, times, int(sizes[k]) * times, float(values[k]) * times))
             n, times = n - times, 2 * times
-    best = np.zeros(capacity + 1)
+    best = np.full(capacity + 1, -np.inf)  # of the fillings of exactly so many ids
+    best[0] = 0
     taken = np.zeros((len(items), capacity + 1), bool)
+    room = np.empty(capacity + 1)
     for row, (_, _, size, value) in enumerate(items):
-        got = best[: capacity + 1 - size] + value
+        got = np.add(best[: capacity + 1 - size], value, out=room[size:])
         np.greater(got, best[size:], out=taken[row, size:])
         np.maximum(got, best[size:], out=best[size:])
-    filling: dict[int, int] = {}
-    c = capacity
+    c = capacity if np.isfinite(best[capacity]) else int(np.argmax(best))
+    filling, gap = {}, capacity - c
     for row in range(len(items) - 1, -1, -1):
         if taken[row, c]:
             k, times, size, _ = items[row]
             filling[k] = filling.get(k, 0) + times
             c -= size
-    return filling
-
-
-def cover(counts: dict[int, int], capacity: int, steps: int | None = None) -> dict[tuple[int, ...], int]:
-    """A cover of the histogram by fillings, by multiplicative weights; it ends when every length is covered, or after ``steps``.
-
-    A filling is used in whole numbers, STEP of what the scarcest of its lengths allows but once at
-    least, so nothing is lost by rounding afterwards. PRICED lengths, the LARGEST and others drawn
-    with a fixed seed, are priced at first; more and then all, if the filling of those leaves room.
+    return filling, gap
+
+
+def lower_bound(counts: dict[int, int], capacity: int, prices: dict[int, float] | None = None) -> int:
+    """Sequences that any packing needs: the dual of the program under these prices, the lengths themselves, and one for each piece beyond half."""
+    sizes = np.array(sorted(counts), np.int64)
+    need = np.array([counts[s] for s in sizes.tolist()], np.int64)
+    bound = max(-(-int(sizes @ need) // capacity), int(need[2 * sizes > capacity].sum()))
+    if prices and len(sizes):
+        value = np.array([prices.get(s, 0.0) for s in sizes.tolist()])
+        best = np.zeros(capacity + 1)
+        for c in range(1, capacity + 1):  # any number of copies: at least the value of the best filling
+            k = int(np.searchsorted(sizes, c, "right"))
+            best[c] = max(best[c - 1], (best[c - sizes[:k]] + value[:k]).max(initial=0.0))
+        if best[capacity] > 0:
+            bound = max(bound, int(np.ceil(float(value @ need) / best[capacity] - 1e-6)))
+    return bound
+
+
+def cover(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, float]]:
+    """(fillings with how often they are used, in order; mean prices), by multiplicative weights.
+
+    A filling is used as often as what is left of its lengths allows, so each step uses up a length
+    or nearly so, and their number depends on the capacity, not on the counts. A filling leaves room
+    only if none that is left doesn't.
     """
-    sizes = np.array(sorted(counts))
-    need = np.array([counts[s] for s in sizes])
-    left, used, rng, done = need.copy(), {}, np.random.default_rng(7), 0
-    tries = (PRICED, 4 * PRICED, len(need))
-    while left.any() and (steps is None or done < steps):
-        every = np.flatnonzero(left)
-        draw = np.concatenate([every[::-1][:LARGEST], rng.permutation(every[::-1][LARGEST:])])  # the largest are the hardest to place
-        for most in tries:
-            at = np.sort(draw[:most])
-            weight = np.exp(STRENGTH * (left[at] / need[at] - 1))
-            filling = {int(at[k]): n for k, n in price(sizes[at] * weight, sizes[at], left[at], capacity).items()}
-            if sum(int(sizes[k]) * n for k, n in filling.items()) == capacity:
-                break
-        else:
-            tries = tries[-1:]  # what is left hardly fills a sequence any more: price all at once
-        times = max(1, int(STEP * min(left[k] // n for k, n in filling.items())))
+    sizes = np.array(sorted(counts), np.int64)
+    need = np.array([counts[s] for s in sizes.tolist()], np.int64)
+    left, rng, misses, out = need.copy(), np.random.default_rng(7), 0, []
+    total, long = float(sizes @ need), LONG * sizes / capacity
+    prices = np.zeros(len(sizes))
+    while left.any():
+        alive = np.flatnonzero(left)
+        lag = left / need - float(sizes @ left) / total
+        weight = np.exp(STRENGTH * lag + long)
+        prices += weight / weight.sum()
+        most = min(PRICED * (1 + misses), len(alive))
+        at, copies = alive, capacity
+        if most < len(alive):
+            draw = rng.exponential(size=len(alive)) / weight[alive]
+            at, copies = alive[np.sort(np.argpartition(draw, most)[:most])], COPIES
+        found, gap = price(sizes[at] * weight[at], sizes[at], np.minimum(left[at], copies), capacity)
+        if gap and len(at) < len(alive):
+            misses += 1
+            continue
+        misses = max(0, misses - 1)
+        filling = {int(at[k]): n for k, n in found.items()}
+        times = int(min(left[k] // n for k, n in filling.items()))
         for k, n in filling.items():
             left[k] -= n * times
-        key = tuple(sorted((int(sizes[k]) for k, n in filling.items() for _ in range(n)), reverse=True))
-        used[key] = used.get(key, 0) + times
-        done += 1
-    return used
+        out.append((tuple(sorted((int(sizes[k]) for k, n in filling.items() for _ in range(n)), reverse=True)), times))
+    return out, dict(zip(sizes.tolist(), (sizes * prices).tolist(), strict=True))
 
 
-def solve(counts: dict[int, int], capacity: int = CAPACITY, steps: int | None = None) -> Plan:
+def solve(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """A plan that covers the histogram ``counts`` exactly.
 
-    The whole cover is one plan; others keep one of SHARES of its full fillings, the first ones, and
-    pack the rest best fit. The plan with the fewest sequences is chosen, among equals the earlier.
+    One plan is the whole cover; others keep one of SHARES of its fillings that leave no room, the first
+    ones, and pack the rest best fit. The plan with the fewest sequences is chosen, among equals the
+    one with the larger share.
     """
-    left = {k: v for k, v in counts.items() if v > 0 and k < capacity}
-    used = cover(left, capacity, steps) if left else {}
+    short = {k: v for k, v in counts.items() if v > 0 and k < capacity}
+    found, prices = cover(short, capacity)
+    whole = [f for f in found if sum(f[0]) == capacity]
     plans = []
-    whole = [f for f in used if sum(f) == capacity]
-    for own in (list(used), *(whole[: int(share * len(whole))] for share in SHARES)):
-        plan, rest = Plan(), dict(left)
+    for own in (found, *(whole[: round(share * len(whole))] for share in SHARES)):
+        plan, rest = Plan(), dict(short)
         plan.use((capacity,), counts.get(capacity, 0))
-        for filling in own:
-            plan.use(filling, used[filling])
-            plan.covered += sum(filling) * used[filling]
+        for filling, times in own:
+            plan.use(filling, times)
+            plan.covered += len(filling) * times
             for s in filling:
-                rest[s] -= used[filling]
+                rest[s] -= times
+        plan.fitted = sum(rest.values())
         best_fit({k: v for k, v in rest.items() if v}, capacity, plan)
         plans.append(plan)
-    return min(plans, key=lambda p: p.sequences)
+    best = min(plans, key=lambda p: p.sequences)
+    best.bound = lower_bound(short, capacity, prices) + counts.get(capacity, 0)
+    return best
 
 
 def best_fit(counts: dict[int, int], capacity: int, plan: Plan) -> None:

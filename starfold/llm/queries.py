@@ -17,4 +17,4 @@ QUERIES = {
     "op10_permutation_index": permutation.query,
 }
 
-ORACLE = {"op4_jaccard_join": jaccard.ORACLE, "op6_mix_sources": mixing.ORACLE, "op10_permutation_index": permutation.ORACLE}
+ORACLE = {"op4_jaccard_join": jaccard.ORACLE, "op5_line_dedup": linededup.ORACLE, "op6_mix_sources": mixing.ORACLE, "op10_permutation_index": permutation.ORACLE}

@@ -10,17 +10,23 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 
+from starfold.llm.shingles import mixed
+
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: The code points of Unicode's White_Space property.
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 LONGEST_HASHED = 256
-MOST_KEPT = 1_000_000
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Bytes of remembered pre-tokens in a worker, about; beyond them all are forgotten.
+KEPT_BYTES = 16 << 20
+#: A longer text is encoded in slices of about so many bytes, cut where a pre-token surely starts.
+SLICE = 1_000_000
+_CUT = re.compile(rb"(?<=[A-Za-z]) (?=[A-Za-z])")
+_PLACE = np.random.default_rng(20_240_307).integers(0, 1 << 63, LONGEST_HASHED, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 @lru_cache(1)
@@ -64,7 +70,7 @@ def _room(x: np.ndarray, used: int, more: int) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of texts; remembers the ids of pre-tokens seen so far, up to ``MOST_KEPT``."""
+    """Ids of texts; remembers the ids of pre-tokens seen so far, in arrays of about ``KEPT_BYTES``."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -78,23 +84,16 @@ class Encoder:
         rest = [b for b in range(256) if b not in set(plain)]
         letters = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
         self.alphabet = np.array([letters[b] for b in range(256)], np.uint32)
-        self.power = np.ones(1, np.uint64)
-        self.inverse = np.ones(1, np.uint64)
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.begins, self.lengths = np.zeros(1 << 12, np.int64), np.ones(1 << 12, np.int64)  # entry 0 is the lone id 0 that ends a document
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes of known pre-tokens, sorted, and their entries
+        self.ids = np.zeros(1 << 14, np.uint32)
+        self.begins, self.lengths = np.zeros(1 << 12, np.int32), np.ones(1 << 12, np.int32)  # entry 0 is the lone id 0 that ends a document
         self.used, self.entries = 1, 1
 
-    def _powers(self, n: int) -> None:
-        if len(self.power) <= n:
-            n = max(n + 1, 1 << 20)
-            for name, base in (("power", _BASE), ("inverse", pow(_BASE, -1, 1 << 64))):
-                steps = np.full(n, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
+    def kept_bytes(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.slots, self.ids, self.begins, self.lengths))
 
     def _add(self, tokens: list[str]) -> int:
         """Encode pre-tokens; their entries follow each other from the one returned."""
@@ -132,9 +131,31 @@ class Encoder:
         at = np.repeat(stops[held] - 1, sizes[held])  # before the 0 that ends the text
         return np.insert(ids, at, np.array([x for found in own for x in found], ids.dtype)), stops + np.cumsum(sizes)
 
+    def _slices(self, data: bytes, ends: np.ndarray) -> Iterator[tuple[bytes, np.ndarray]]:
+        """``data`` as it is, or else one text after the other in slices; the last end of a slice inside a text is no end of a text."""
+        if len(data) <= 2 * SLICE:
+            yield data, ends
+            return
+        a = 0
+        for end in ends.tolist():
+            while end - a > 2 * SLICE and (cut := _CUT.search(data, a + SLICE, end)):
+                yield data[a : cut.start()], np.zeros(0, np.int64)
+                a = cut.start()
+            yield data[a:end], np.array([end - a])
+            a = end
+
     def _plain(self, data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same for texts without added tokens."""
-        if len(self.known) > MOST_KEPT:
+        ids, stops, at = [], [], 0
+        for part, own in self._slices(data, ends):
+            got, upto = self._block(part, own)
+            ids.append(got)
+            stops.append(upto + at)
+            at += len(got)
+        return (ids[0], stops[0]) if len(ids) == 1 else (np.concatenate(ids), np.concatenate(stops)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _block(self, data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.kept_bytes() > KEPT_BYTES:
             self.clear()
         text = data.decode("utf-8")
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -149,27 +170,29 @@ class Encoder:
         first[begins[begins < n]] = True
         start = np.flatnonzero(splits(points, first)) if n else np.zeros(0, np.int64)
         stop = np.concatenate([start[1:], [n]]) if n else start
-        self._powers(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * self.power[:n], out=sums[1:])
         size = stop - start
-        key = (sums[stop] - sums[start]) * self.inverse[start]
-        key ^= size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        del sums
+        place = np.arange(n, dtype=np.int32) - np.repeat(start.astype(np.int32), size)
+        value = (points.astype(np.uint64) + np.uint64(1)) * _PLACE[np.minimum(place, LONGEST_HASHED - 1)]
+        key = mixed(np.add.reduceat(value, start) + size.astype(np.uint64)) if n else np.zeros(0, np.uint64)
+        del place, value
         lone = np.flatnonzero(size > LONGEST_HASHED)
         distinct, at, which = np.unique(key, return_index=True, return_inverse=True)
-        slots = np.fromiter(map(self.known.get, distinct.tolist(), repeat(-1)), np.int64, len(distinct))
-        new = np.flatnonzero(slots < 0)
-        if len(new):
+        near = np.searchsorted(self.keys, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = near < len(self.keys)
+        new[inside] = self.keys[near[inside]] != distinct[inside]
+        slots = np.zeros(len(distinct), np.int32)
+        slots[~new] = self.slots[near[~new]]
+        if new.any():
             a, b = start[at[new]].tolist(), stop[at[new]].tolist()
-            slots[new] = self._add([text[i:j] for i, j in zip(a, b, strict=True)]) + np.arange(len(new))
-            self.known.update(zip(distinct[new].tolist(), slots[new].tolist(), strict=True))
+            slots[new] = self._add([text[i:j] for i, j in zip(a, b, strict=True)]) + np.arange(len(a))
+            self.keys, self.slots = np.insert(self.keys, near[new], distinct[new]), np.insert(self.slots, near[new], slots[new])
         token = slots[which]
         if len(lone):
             token[lone] = self._add([text[start[i] : stop[i]] for i in lone.tolist()]) + np.arange(len(lone))
         counts = np.searchsorted(start, stops)  # pre-tokens up to the end of each text
         token = np.insert(token, counts, 0)
-        begin, length = self.begins[token], self.lengths[token]
+        begin, length = self.begins[token].astype(np.int64), self.lengths[token]
         upto = np.cumsum(length)
         flat = self.ids[np.repeat(begin - (upto - length), length) + np.arange(upto[-1] if len(upto) else 0)]
         return flat, upto[counts + np.arange(len(counts))]

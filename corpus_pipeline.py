@@ -10,36 +10,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starfold.llm import jaccard, linededup, mixing, packing, toxicity
-from starfold.llm._common import documents, stored, word_count
+from starfold.llm._common import documents, stored, unused, word_count
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from the labels of these documents; documents of score THRESHOLD or more go."""
+    """Learn from the labels of these documents; documents of score THRESHOLD or more go.
+
+    Null and empty texts have the score of a text that says nothing, and stay; null ids, repeated rows
+    and long texts are rows like others; an empty table stays empty. Columns keep their values.
+    """
+    name = unused(docs, "toxic_score")
     model = toxicity.learn(docs, documents(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter(F.col("toxic_score") < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.score(docs, model, name).filter(F.col(name) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go; a document that consisted of nothing else goes with them."""
-    out = linededup.dedup(docs)
-    left = out.filter(F.col("line_runs").isNull() | (word_count(F.col("text")) > 0))
+    """Later repeated runs of lines go; a document that consisted of nothing else goes with them.
+
+    Null and empty texts stay; rows equal in id and text lose the same lines. n_chars follows the text.
+    """
+    name = unused(docs, "line_runs")
+    out = linededup.dedup(docs, name=name)
+    left = out.filter(F.col(name).isNull() | (word_count(F.col("text")) > 0))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return left.select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that of the least doc_id."""
+    """One document of each group of near duplicates stays: that of the least doc_id, null last.
+
+    Texts without words (null, empty, blank) stay all; of rows equal in id and set of n-grams one stays.
+    """
     return jaccard.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of the sources ask for them."""
+    """Documents as often as the target weights of the sources ask for them; null is a source of its own.
+
+    Texts without words are taken like others of their size. An empty table stays empty.
+    """
     return mixing.emit(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents, placed in as few sequences as the packing can."""
+    """Token pieces of all documents, placed in as few sequences as the packing can.
+
+    Null text counts as empty and is one id; null ids and repeated rows are documents like others.
+    """
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))

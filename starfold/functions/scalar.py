@@ -30,6 +30,10 @@ def year_of_day(day: Column, first_year: int = 1992) -> Column:
     return (F.floor(day / 365) + first_year).cast("int")
 
 
-def spread(row: Column, multiplier: int, modulus: int) -> Column:
-    """A key below ``modulus`` for a row number; other multipliers give independent columns. Integers only, so SQL agrees."""
-    return (row * multiplier % 2147483647 * 48271 % 2147483647 % modulus).cast("long")
+def drawn(row: Column, seed: int, name: str, modulus: int) -> Column:
+    """A number below ``modulus`` that seed, column and row number decide; other seeds and columns give independent ones.
+
+    The first 48 bits of an MD5 digest, so that any engine agrees.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}:{name}:"), row.cast("string")).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % modulus).cast("long")

@@ -34,7 +34,11 @@ class Dimension:
 
 @dataclass(frozen=True)
 class StarQuery:
-    """SUM(measure) over fact and dimensions, by group_keys. ``scale``: decimals of the exact sum."""
+    """SUM(measure) over fact and dimensions, by group_keys.
+
+    ``scale``: decimals of a double that are summed exactly; what a value has beyond them is summed as
+    a double beside, so nothing is rounded away. None sums doubles only.
+    """
 
     fact: DataFrame
     dims: Sequence[Dimension]
@@ -42,7 +46,7 @@ class StarQuery:
     measure: str
     alias: str = "total"
     fact_predicate: Column | None = None
-    scale: int = 2
+    scale: int | None = 2
 
     def checked(self) -> StarQuery:
         """Raise ValueError for names and types that cannot work."""

@@ -5,26 +5,28 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from starfold.functions.sums import split, total
 from starfold.model import Dimension, Prepared, StarQuery, strategy_name
 
-#: A dimension is broadcast only if it is proven to have at most so many bytes.
+#: A dimension is broadcast only if its values are found to have at most so many bytes.
 BROADCAST_BYTES = 512 << 20
+ROW_BYTES = 32  # of a hash relation, besides the values
 HINTS = {"merge": "merge", "shuffle_hash": "shuffle_hash", "broadcast": "broadcast"}
 
 
-def row_bytes(df: DataFrame) -> int:
-    return 16 + sum(40 if f.dataType.typeName() == "string" else 8 for f in df.schema.fields)
-
-
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether ``df`` is proven to fit ``limit``: by the optimizer's estimate, an upper bound for scans, or else by a count that stops at the limit."""
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit:
-        return True
-    most = limit // row_bytes(df)
-    return df.limit(most + 1).count() <= most
+    """Whether the rows of ``df``, uncompressed, have at most ``limit`` bytes: they are counted, but no more of them than could fit.
+
+    The optimizer's size is not asked: for files it is that of their compressed columns.
+    """
+    wide = [F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) for f in df.schema.fields if not isinstance(f.dataType, T.NumericType)]
+    each = ROW_BYTES + 8 * sum(isinstance(f.dataType, T.NumericType) for f in df.schema.fields)
+    size = F.sum(sum(wide, F.lit(each)).cast("long"))
+    return (df.limit(limit // each + 1).agg(size).first()[0] or 0) <= limit
 
 
 def has_key(dim: Dimension) -> bool:
@@ -35,11 +37,6 @@ def has_key(dim: Dimension) -> bool:
     return not rows.groupBy(dim.dim_key).count().filter("count > 1").limit(1).count()
 
 
-def exact_sum(measure: str, scale: int) -> Column:
-    """Summed as a decimal, so that no partitioning changes it; a double at last."""
-    return F.sum(F.col(measure).cast(f"decimal(18,{scale})")).cast("double")
-
-
 def ordered(dims: Sequence[Dimension]) -> list[Dimension]:
     """Restricted dimensions first, those that only filter before those that widen rows."""
     return sorted(dims, key=lambda d: (d.predicate is None, bool(d.attrs)))
@@ -51,7 +48,7 @@ def join_star(q: StarQuery, strategy: str, notes: list[str]) -> DataFrame:
         side = dim.rows().withColumnRenamed(dim.dim_key, f"__key{k}")
         hint = HINTS.get(strategy)
         if hint == "broadcast" and not small(side):
-            notes.append(f"dimension of {dim.fact_key} is not proven to fit {BROADCAST_BYTES} bytes; Spark chooses its join")
+            notes.append(f"dimension of {dim.fact_key} has more than {BROADCAST_BYTES} bytes; Spark chooses its join")
             hint = None
         side = side.hint(hint) if hint else side
         kind = "left_semi" if not dim.attrs and has_key(dim) else "inner"
@@ -70,13 +67,14 @@ def prepare(q: StarQuery, strategy: str = "auto", repartition: int | None = None
     if strategy_name(strategy) == "onepass":
         from starfold.operators.onepass import one_pass
 
+        q = StarQuery(q.fact, ordered(q.dims), q.group_keys, q.measure, q.alias, q.fact_predicate, q.scale)
         df, reason = one_pass(q)
         if df is not None:
             return Prepared(df, "onepass", time.perf_counter() - began, notes)
         notes.append(f"onepass does not apply: {reason}")
         strategy = "broadcast"
     joined = join_star(q, strategy, notes)
-    df = joined.groupBy(*q.group_keys).agg(exact_sum(q.measure, q.scale).alias(q.alias))
+    df = joined.groupBy(*q.group_keys).agg(total(*split(q.measure, q.fact.schema[q.measure].dataType, q.scale)).alias(q.alias))
     return Prepared(df, strategy, time.perf_counter() - began, notes)
 
 
@@ -92,7 +90,8 @@ def eager(q: StarQuery, strategy: str = "auto") -> DataFrame:
     own = [g for g in q.group_keys if g in q.fact.columns and not any(g in d.attrs for d in q.dims)]
     keys = list(dict.fromkeys([*(d.fact_key for d in q.dims), *own]))
     rows = q.fact if q.fact_predicate is None else q.fact.filter(q.fact_predicate)
-    rows = rows.groupBy(*keys).agg(F.sum(F.col(q.measure).cast(f"decimal(18,{q.scale})")).alias("__part"))
-    inner = StarQuery(rows, q.dims, q.group_keys, "__part", q.alias, None, q.scale)
+    held = {n: c for n, c in zip(("__exact", "__rest"), split(q.measure, q.fact.schema[q.measure].dataType, q.scale), strict=True) if c is not None}
+    rows = rows.groupBy(*keys).agg(*[F.sum(c).alias(n) for n, c in held.items()])
+    inner = StarQuery(rows, q.dims, q.group_keys, next(iter(held)), q.alias, None, q.scale)
     joined = join_star(inner, strategy_name(strategy), [])
-    return joined.groupBy(*q.group_keys).agg(F.sum("__part").cast("double").alias(q.alias))
+    return joined.groupBy(*q.group_keys).agg(total(*[F.col(n) if n in held else None for n in ("__exact", "__rest")]).alias(q.alias))

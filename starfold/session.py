@@ -22,6 +22,17 @@ OBJECT_STORE = {
     "fast.upload": "S3_FAST_UPLOAD",
     "endpoint.region": "S3_REGION",
     "impl": "S3_IMPL",
+    "aws.credentials.provider": "S3_CREDENTIALS_PROVIDER",
+    "buffer.dir": "S3_BUFFER_DIR",
+    "experimental.input.fadvise": "S3_INPUT_POLICY",
+}
+
+#: Settings of the process and the variables that may set them; a submit command's own settings come first.
+LAUNCH = {
+    "spark.driver.memory": "STARFOLD_DRIVER_MEMORY",
+    "spark.executor.memory": "STARFOLD_EXECUTOR_MEMORY",
+    "spark.executor.cores": "STARFOLD_EXECUTOR_CORES",
+    "spark.local.dir": "STARFOLD_SCRATCH",
 }
 
 _made: list[tuple[SparkSession, str]] = []
@@ -32,8 +43,14 @@ def object_store_conf(env: dict[str, str] | None = None) -> dict[str, str]:
     return {f"spark.hadoop.fs.s3a.{key}": env[name] for key, name in OBJECT_STORE.items() if env.get(name)}
 
 
+def launch_conf(env: dict[str, str] | None = None) -> dict[str, str]:
+    env = dict(os.environ) if env is None else env
+    return {key: env[name] for key, name in LAUNCH.items() if env.get(name)}
+
+
 def make_session(app: str = "starfold", master: str | None = None, shuffle_partitions: int | None = None, adaptive: bool = True, auto_broadcast: bool = True, **conf: str) -> SparkSession:
-    """A session in UTC. The master comes from the argument or else from the submit command, never from both."""
+    """A session in UTC. The master comes from the argument, else from SPARK_MASTER, else from the submit command."""
+    master = master or os.environ.get("SPARK_MASTER")
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", str(adaptive).lower())
     if master:
         builder = builder.master(master)
@@ -41,7 +58,7 @@ def make_session(app: str = "starfold", master: str | None = None, shuffle_parti
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if not auto_broadcast:
         builder = builder.config("spark.sql.autoBroadcastJoinThreshold", "-1")
-    for key, value in (object_store_conf() | conf).items():
+    for key, value in (launch_conf() | object_store_conf() | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -49,6 +66,8 @@ def make_session(app: str = "starfold", master: str | None = None, shuffle_parti
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share; a local one only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="starfold-")
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

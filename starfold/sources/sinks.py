@@ -6,6 +6,7 @@ import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write(df: DataFrame, path: str, files: int | None = None, partition_by: Sequence[str] = (), sort_by: Sequence[str] = (), max_rows: int | None = None) -> None:
@@ -18,10 +19,17 @@ def write(df: DataFrame, path: str, files: int | None = None, partition_by: Sequ
     out.parquet(path)
 
 
-def partition_fact(fact: DataFrame, path: str, key: str = "lo_year") -> DataFrame:
-    """Rewrite a fact by ``key``; rows meet by key first, so that a partition has few files."""
-    write(fact.repartition(key), path, partition_by=[key])
-    return fact.sparkSession.read.schema(fact.schema).parquet(path)
+def partition_fact(fact: DataFrame, path: str, key: str = "lo_year", tasks: int | None = None, max_rows: int = 50_000_000) -> DataFrame:
+    """Rewrite a fact by ``key``.
+
+    Each value of the key is dealt to several tasks, so one of them is no bottleneck; a task writes the
+    few values it has, and files have at most ``max_rows`` rows.
+    """
+    spark = fact.sparkSession
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = F.pmod(F.xxhash64(*fact.columns), F.lit(max(1, tasks // 4)))
+    write(fact.repartition(tasks, F.col(key), spread), path, partition_by=[key], max_rows=max_rows)
+    return spark.read.schema(fact.schema).parquet(path)
 
 
 def save_table(df: DataFrame, name: str, sort_by: Sequence[str] = ()) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +32,17 @@ def read_star(spark: SparkSession, base: str, by_year: bool = False) -> dict[str
     return {n: read(spark, base, n) for n in names}
 
 
+def checked(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
+    """``df`` that fails when it is read, if a null is among ``columns`` (all, if none are named)."""
+    held = {c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"null in column {c}"))).otherwise(F.col(c)) for c in columns or df.columns}
+    return df.select(*[held[c].alias(c) if c in held else F.col(c) for c in df.columns])
+
+
+def file_counts(df: DataFrame, suffix: str = "") -> DataFrame:
+    """(n_files, n_rows) of the files that ``df`` reads and whose names end with ``suffix``."""
+    return df.select(F.col("_metadata.file_name").alias("f")).filter(F.col("f").endswith(suffix)).agg(F.count_distinct("f").alias("n_files"), F.count("*").alias("n_rows"))
+
+
 def register(tables: dict[str, DataFrame]) -> None:
     """Temporary views for SQL text."""
     for name, df in tables.items():

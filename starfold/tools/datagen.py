@@ -1,4 +1,4 @@
-"""A seeded star generator. Foreign keys are drawn independently of each other, one hash per column."""
+"""A seeded star generator. Foreign keys are drawn independently of each other: one digest per seed, column and row."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.functions.scalar import picked, spread, year_of_day
+from starfold.functions.scalar import drawn, picked, year_of_day
 from starfold.sources import sinks
 
 # The names that queries and results use.
@@ -17,7 +17,6 @@ NATIONS = (
     "ALGERIA", "ARGENTINA", "BRAZIL", "CANADA", "CHINA", "EGYPT", "ETHIOPIA", "FRANCE", "GERMANY", "INDIA", "INDONESIA", "IRAN", "IRAQ",
     "JAPAN", "JORDAN", "KENYA", "MOROCCO", "MOZAMBIQUE", "PERU", "ROMANIA", "RUSSIA", "SAUDI ARABIA", "UNITED KINGDOM", "UNITED STATES", "VIETNAM",
 )
-AMOUNT_MULTIPLIER = 1_812_433_253
 
 
 @dataclass(frozen=True)
@@ -27,31 +26,35 @@ class Sizes:
     parts: int = 1_400_000
     days: int = 2_556
     rows: int = 600_000_000
+    seed: int = 1
 
 
-def keys(n: Sizes) -> list[tuple[str, int, int]]:
-    """(column, its multiplier, its domain)."""
-    return [("lo_custkey", 1_103_515_245, n.customers), ("lo_suppkey", 1_664_525_013, n.suppliers), ("lo_partkey", 214_013_111, n.parts), ("lo_orderdate", 22_695_477, n.days)]
+def keys(n: Sizes) -> list[tuple[str, int]]:
+    """(column of the fact, its domain)."""
+    return [("lo_custkey", n.customers), ("lo_suppkey", n.suppliers), ("lo_partkey", n.parts), ("lo_orderdate", n.days)]
 
 
-def tables(spark: SparkSession, n: Sizes) -> dict[str, DataFrame]:
-    """All five tables, lazily. Row numbers stay below 2**32, so that products fit 64 bits."""
+def fact(spark: SparkSession, n: Sizes, files: int | None = None) -> DataFrame:
+    """range makes as many even partitions as asked for: no shuffle is needed for even files."""
+    ids = spark.range(0, n.rows, 1, files) if files else spark.range(n.rows)
+    row = F.col("id")
+    return ids.select(*[drawn(row, n.seed, c, k).alias(c) for c, k in keys(n)], (drawn(row, n.seed, "amount", 10_000) + 1).cast("double").alias("amount"))
+
+
+def tables(spark: SparkSession, n: Sizes, files: int | None = None) -> dict[str, DataFrame]:
+    """All five tables, lazily."""
     row = F.col("id")
     return {
         "customer": spark.range(n.customers).select(row.alias("c_custkey"), picked(NATIONS, row).alias("c_nation"), picked(REGIONS, row).alias("c_region")),
         "supplier": spark.range(n.suppliers).select(row.alias("s_suppkey"), picked(REGIONS, row).alias("s_region")),
         "part": spark.range(n.parts).select(row.alias("p_partkey"), picked(MFGRS, row).alias("p_mfgr")),
         "date": spark.range(n.days).select(row.alias("d_datekey"), year_of_day(row).alias("d_year")),
-        "lineorder": spark.range(n.rows).select(*[spread(row, m, k).alias(c) for c, m, k in keys(n)], (spread(row, AMOUNT_MULTIPLIER, 10_000) + 1).cast("double").alias("amount")),
+        "lineorder": fact(spark, n, files),
     }
 
 
 def generate(spark: SparkSession, out: str, n: Sizes, files: int = 96, dims_only: bool = False) -> None:
     """Write the star under ``out``. ``dims_only`` leaves the fact as it is."""
-    for name, df in tables(spark, n).items():
-        if name != "lineorder":
+    for name, df in tables(spark, n, files).items():
+        if name != "lineorder" or not dims_only:
             sinks.write(df, f"{out}/{name}")
-        elif not dims_only:
-            # range makes as many even partitions as asked for: no shuffle is needed for even files
-            rows = spark.range(0, n.rows, 1, files).select(*[spread(F.col("id"), m, k).alias(c) for c, m, k in keys(n)], (spread(F.col("id"), AMOUNT_MULTIPLIER, 10_000) + 1).cast("double").alias("amount"))
-            sinks.write(rows, f"{out}/{name}")

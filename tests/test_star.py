@@ -104,15 +104,45 @@ def test_names_are_checked(spark):
             star_aggregate(f, dims, keys, measure)
 
 
-def test_one_pass_says_why_it_does_not_apply(spark):
-    f = fact(spark, [(10**9, 0, 1.0)])
-    made = prepare(StarQuery(f, [Dimension(dim(spark, [(10**9, "a")]), "k", "id", ["name"])], ["name"], "amount"), "onepass")
-    assert made.strategy == "broadcast" and "sparse" in made.notes[0]
+def test_one_pass_says_why_it_does_not_apply(spark, monkeypatch):
+    from starfold.operators import onepass
+
+    d = Dimension(dim(spark, [(10**9, "a"), (-5, "b")]), "k", "id", ["name"])
+    q = StarQuery(fact(spark, [(10**9, 0, 1.0), (-5, 0, 2.0)]), [d], ["name"], "amount")
+    made = prepare(q, "onepass")
+    assert made.strategy == "onepass" and rows(made.df) == [("a", 1.0), ("b", 2.0)]
+    monkeypatch.setattr(onepass, "MOST_ROWS", 1)
+    made = prepare(q, "onepass")
+    assert made.strategy == "broadcast" and "more than 1 rows" in made.notes[0] and rows(made.df) == [("a", 1.0), ("b", 2.0)]
+    f = spark.createDataFrame([(1.0, 0, 1.0)], "k double, j long, amount double")
+    assert "one kind" in prepare(StarQuery(f, [d], ["name"], "amount"), "onepass").notes[0]
+
+
+def test_one_pass_by_names_of_groups(spark, monkeypatch):
+    from starfold.operators import onepass
+
+    monkeypatch.setattr(onepass, "DENSE_GROUPS", 0)
+    d = Dimension(dim(spark, [(0, "a"), (1, "b")]), "k", "id", ["name"])
+    assert rows(prepare(StarQuery(fact(spark, [(0, 0, 9e15)] * 20 + [(1, 0, None)]), [d], ["name"], "amount"), "onepass").df) == [("a", 1.8e17), ("b", None)]
+
+
+@pytest.mark.parametrize("strategy", [*STRATEGIES, "eager"])
+@pytest.mark.parametrize("values,want", [([0.004] * 1000, 4.0), ([1e17, 1.0], 1e17 + 1), ([9e15] * 20, 1.8e17), ([0.1] * 10, 1.0), ([float("inf"), 1.0], float("inf")), ([None, 2.5], 2.5)])
+def test_no_sum_rounds_wraps_or_fails(spark, strategy, values, want):
+    q = StarQuery(fact(spark, [(0, 0, v) for v in values]), [Dimension(dim(spark, [(0, "a")]), "k", "id", ["name"])], ["name"], "amount")
+    got = rows(eager(q) if strategy == "eager" else prepare(q, strategy).df)
+    assert got == [("a", pytest.approx(want, rel=1e-12))]
+
+
+def test_scale_none_sums_doubles(spark):
+    q = StarQuery(fact(spark, [(0, 0, 0.125), (0, 0, 1e300)]), [Dimension(dim(spark, [(0, "a")]), "k", "id", ["name"])], ["name"], "amount", scale=None)
+    assert {s: rows(prepare(q, s).df) for s in STRATEGIES} == {s: [("a", 1e300)] for s in STRATEGIES}
 
 
 def test_size_is_checked_before_broadcast(spark):
     big = spark.range(1000).selectExpr("id", "cast(id as string) name").repartition(2)
     assert small(big.limit(10)) and not small(spark.range(10**7).selectExpr("id", "uuid() name"), 1 << 20)
+    assert not small(spark.range(10).selectExpr("id", "repeat('x', 1000) name"), 9000)
 
 
 def plan(df):

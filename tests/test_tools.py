@@ -66,6 +66,35 @@ def test_sinks_and_summary(spark, tmp_path):
     assert json.loads(open(path).readline())["run"] == 0
 
 
+def test_nulls_are_refused(spark):
+    df = spark.createDataFrame([(1, "a"), (None, "b")], "k long, name string")
+    assert tables.checked(df, ["name"]).count() == 2
+    with pytest.raises(Exception, match="null in column k"):
+        tables.checked(df).collect()
+
+
+def test_command_line(spark, base, tmp_path, monkeypatch, capsys):
+    from starfold import __main__ as cli
+
+    monkeypatch.setattr(cli, "make_session", lambda **_: spark)
+    log = str(tmp_path / "runs.json")
+    for strategy in ("auto", "onepass"):
+        cli.main(["query", base, "--query", "q4", "--strategy", strategy, "--record", log])
+        got = json.loads(capsys.readouterr().out.strip().split("\n")[-1])
+        assert got["strategy"] == strategy and got["groups"] > 150 and got["fact_partitions"] >= 1 and got["seconds"] >= got["scan_seconds"] > 0
+    cli.main(["summarize", log])
+    cli.main(["generate", str(tmp_path / "star"), "--rows", "50", "--customers", "10", "--suppliers", "3", "--parts", "4", "--files", "2"])
+    assert tables.read(spark, str(tmp_path / "star"), "customer").count() == 10
+    cli.main(["probe", str(tmp_path / "star")])
+    assert json.loads(capsys.readouterr().out.strip().split("\n")[-1])["files"] >= 2
+
+
+def test_settings_from_the_environment():
+    from starfold.session import launch_conf
+
+    assert launch_conf({}) == {} and launch_conf({"STARFOLD_DRIVER_MEMORY": "4g"}) == {"spark.driver.memory": "4g"}
+
+
 def test_no_default_credentials():
     assert object_store_conf({}) == {}
     assert object_store_conf({"S3_ENDPOINT": "http://x"}) == {"spark.hadoop.fs.s3a.endpoint": "http://x"}

@@ -125,4 +125,4 @@ def sample(docs: DataFrame, rows: DataFrame, label: str, most: int, tasks: int =
     chosen = chosen.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < F.col("part") * 1_000_000).select("id", "label")
     named = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id")  # about ``most`` rows
     named = named.groupBy("id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    return stored(named.select("text", "label").repartition(tasks, F.xxhash64("text")), "sample")
+    return stored(named.repartition(tasks, "id").select("text", "label"), "sample")

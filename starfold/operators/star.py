@@ -18,15 +18,24 @@ ROW_BYTES = 32  # of a hash relation, besides the values
 HINTS = {"merge": "merge", "shuffle_hash": "shuffle_hash", "broadcast": "broadcast"}
 
 
-def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether the rows of ``df``, uncompressed, have at most ``limit`` bytes: they are counted, but no more of them than could fit.
+def sizes(sides: Sequence[DataFrame]) -> list[int]:
+    """Bytes of the rows of each, uncompressed, found by one job of partial sums.
 
     The optimizer's size is not asked: for files it is that of their compressed columns.
     """
-    wide = [F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) for f in df.schema.fields if not isinstance(f.dataType, T.NumericType)]
-    each = ROW_BYTES + 8 * sum(isinstance(f.dataType, T.NumericType) for f in df.schema.fields)
-    size = F.sum(sum(wide, F.lit(each)).cast("long"))
-    return (df.limit(limit // each + 1).agg(size).first()[0] or 0) <= limit
+    every = None
+    for k, df in enumerate(sides):
+        wide = [F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) for f in df.schema.fields if not isinstance(f.dataType, T.NumericType)]
+        each = ROW_BYTES + 8 * sum(isinstance(f.dataType, T.NumericType) for f in df.schema.fields)
+        one = df.agg(F.lit(k).alias("k"), F.sum(sum(wide, F.lit(each)).cast("long")).alias("n"))
+        every = one if every is None else every.unionByName(one)
+    found = {r["k"]: r["n"] or 0 for r in every.collect()} if every is not None else {}
+    return [found[k] for k in range(len(sides))]
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of ``df`` have at most ``limit`` bytes."""
+    return sizes([df])[0] <= limit
 
 
 def has_key(dim: Dimension) -> bool:
@@ -44,10 +53,13 @@ def ordered(dims: Sequence[Dimension]) -> list[Dimension]:
 
 def join_star(q: StarQuery, strategy: str, notes: list[str]) -> DataFrame:
     rows = q.fact if q.fact_predicate is None else q.fact.filter(q.fact_predicate)
-    for k, dim in enumerate(ordered(q.dims)):
+    dims = ordered(q.dims)
+    hint_of = HINTS.get(strategy)
+    bytes_of = sizes([d.rows() for d in dims]) if hint_of == "broadcast" else [0] * len(dims)
+    for k, dim in enumerate(dims):
         side = dim.rows().withColumnRenamed(dim.dim_key, f"__key{k}")
-        hint = HINTS.get(strategy)
-        if hint == "broadcast" and not small(side):
+        hint = hint_of
+        if hint == "broadcast" and bytes_of[k] > BROADCAST_BYTES:
             notes.append(f"dimension of {dim.fact_key} has more than {BROADCAST_BYTES} bytes; Spark chooses its join")
             hint = None
         side = side.hint(hint) if hint else side

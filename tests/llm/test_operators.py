@@ -671,20 +671,49 @@ def test_nearest_query_agrees_with_sql(spark):
     agrees(spark, permutation, "embeddings")
 
 
-def test_index_alone_has_its_recall():
-    """The first share of the footrule order, without the bound that makes results whole."""
-    rng = np.random.default_rng(1)
-    centres = rng.normal(size=(40, 16))
-    x = centres[rng.integers(0, 40, 4000)] + 0.4 * rng.normal(size=(4000, 16))
-    pivot = x[:: 4000 // permutation.PIVOTS][: permutation.PIVOTS]
-    index = permutation.Block(np.arange(4000), x, pivot, permutation.PREFIX)
-    d, near = permutation.orders(x[:50], pivot, permutation.PREFIX)
-    found = 0
-    for i in range(50):
-        true = set(np.argsort(((x - x[i]) ** 2).sum(1), kind="stable")[1:11].tolist())
-        order = np.argsort(index.footrules(near[i]), kind="stable")
-        found += len(true & set(order[: int(permutation.SHARE * 4000)].tolist()))
-    assert found / 500 >= 0.9
+def brute_nearest(rows, asked, k=10):
+    """By loops over all pairs of one length; of an id's vectors the nearest."""
+    out = {}
+    for q in {i for i, _ in asked}:
+        best = {}
+        for i, v in asked:
+            for c, w in rows:
+                if i == q != c and len(v) == len(w):
+                    best[c] = min(best.get(c, float("inf")), sum((a - b) ** 2 for a, b in zip(v, w, strict=True)) ** 0.5)
+        out[q] = sorted((s, c) for c, s in best.items())[:k]
+    return out
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_recall_of_the_index(spark, exact):
+    """On 2,000 real vectors, with no floor on what is reranked; queries are all ids divisible by 50, against all rows."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x = np.array([r["embedding"] for r in df.orderBy("vec_id").collect()], float)
+    ids = np.array([r["vec_id"] for r in df.select("vec_id").orderBy("vec_id").collect()])
+    got = defaultdict(set)
+    for r in permutation.nearest(df, df.filter("vec_id % 50 = 0"), least=0, exact=exact).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert permutation.candidates(2000, 0) < 350
+    hits = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[int(ids[q])] & set(ids[np.argsort(d, kind="stable")[:10]].tolist()))
+    recall = hits / (10 * (ids % 50 == 0).sum())
+    assert recall == 1 if exact else recall >= 0.9
+
+
+def test_lengths_and_versions(spark):
+    """Each length is searched among its own; different vectors of one id are one query and one candidate."""
+    rng = random.Random(12)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3 if i % 4 else 5)]) for i in range(60)] + [(100, [0.5, 0.5, 0.5]), (100, [1.0, -1.0, 0.0]), (2, [0.1, 0.2, 0.3])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in sorted(permutation.nearest(df, df.filter("vec_id in (100, 8, 2)")).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    want = brute_nearest(rows, [r for r in rows if r[0] in (100, 8, 2)])
+    assert {q: [c for _, c in x] for q, x in got.items()} == {q: [c for _, c in x] for q, x in want.items()}
+    assert all(s == pytest.approx(t) for q in want for (s, _), (t, _) in zip(got[q], want[q], strict=True))
 
 
 def test_footrule_by_postings():
@@ -699,7 +728,7 @@ def test_footrule_by_postings():
 
 
 def test_vectors_that_take_no_part(spark):
-    data = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [None, 1.0]), (None, [1.0, 1.0]), (6, [1.0, 0.5]), (7, [1.0, 0.5]), (6, [1.0, 0.5]), (8, [1.0, 2.0, 3.0])]
+    data = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [None, 1.0]), (None, [1.0, 1.0]), (6, [1.0, 0.5]), (7, [1.0, 0.5]), (6, [1.0, 0.5]), (8, [1.0, 2.0, 3.0]), (9, [])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
     got = permutation.nearest(df, df.filter("vec_id in (0, 1, 7)"))
     assert sorted(map(tuple, got.collect())) == [(0, 1, 6, 0.5), (0, 2, 7, 0.5), (7, 1, 6, 0.0), (7, 2, 0, 0.5)]

@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, plus values in a credential context that would be costly to guess.
 
 The cost of a value is the least number of bits over all its segmentations into words, dates,
-repeats, keyboard walks and brute-force spans, found by dynamic programming from left to right.
-A value of MIN_BITS or more is reported as kind ``guess``.
+repeats (of any unit up to LONGEST_UNIT characters, from any place, any number of times), keyboard
+walks (any part of three or more characters) and brute-force spans, found by dynamic programming from
+left to right. A value of MIN_BITS or more is reported as kind ``guess``.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 from math import log2
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +28,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # a shorter run has no longer one inside
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: A credential's name, a sign or word that gives its value, and the value up to white space or a quote.
-CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credential|auth(?:orization)?|bearer|login|(?:api|access|private)[_\x20-]?key)s?["']?\x20{0,8}(?:[:=]>?|\bis\b|\bbearer\b)\x20{0,8}["'`]?([^\s"'`<>,;|]{8,})""", re.ASCII | re.IGNORECASE)
+CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret(?:[_\x20-]?key)?|token|credential|auth(?:orization)?|bearer|login|(?:api|access|private)[_\x20-]?key)s?["']?[\x20\t]*(?:[:=]>?|\bis\b|\bbearer\b)[\x20\t]*(?:bearer[\x20\t]+)?(?:"([^"\s]{8,})"|'([^'\s]{8,})'|`([^`\s]{8,})`|["'`]?([^\s"'`<>,;|]{8,}))""", re.ASCII | re.IGNORECASE)
 MIN_BITS = 45.0
 SEGMENT_BITS = 1.0
-LONGEST_UNIT = 8
+#: Characters of a repeat's unit at most; a longer value is cut into parts of LONGEST_VALUE that are guessed one by one.
+LONGEST_UNIT, LONGEST_VALUE = 8, 4096
 
 #: Common words of passwords, the most common first, and the rows of a keyboard.
 WORDS = """password admin welcome login master dragon monkey letmein shadow sunshine princess football baseball iloveyou
@@ -42,6 +45,7 @@ account mobile phone google amazon microsoft apache oracle mysql postgres redis
 development backup security alpha beta gamma delta omega north south east west january march april june july august""".split()
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 LEET = str.maketrans("@4831!05$7", "aabeliosst")
+_LOG = np.log2(np.arange(LONGEST_VALUE + 2).clip(1))
 YEAR = r"(?:19|20)\d\d"
 DATES = tuple((re.compile(p, re.ASCII), bits) for p, bits in (
     (rf"{YEAR}[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])", log2(365 * 200)),
@@ -80,9 +84,9 @@ def _pool(value: str) -> float:
 
 
 def segments(value: str, words: tuple[str, ...] = tuple(WORDS)) -> Iterator[tuple[int, int, float]]:
-    """(start, end, bits) of every word, date, repeat and keyboard walk in ``value``."""
+    """(start, end, bits) of every word and date in ``value``."""
     ranks, longest = _ranks(words)
-    low, step, each = value.lower(), _next(), _pool(value)
+    low = value.lower()
     if len(low) != len(value):
         low = value
     plain = low.translate(LEET)
@@ -98,44 +102,38 @@ def segments(value: str, words: tuple[str, ...] = tuple(WORDS)) -> Iterator[tupl
         for i in range(n):
             if m := pattern.match(value, i):
                 yield i, m.end(), bits
-    for size in range(1, LONGEST_UNIT + 1):  # repeats: maximal runs of one unit, each cut at any multiple
-        i = 0
-        while i + 2 * size <= n:
-            j = i + size
-            while j < n and value[j] == value[j - size]:
-                j += 1
-            if j - i >= max(3, 2 * size):
-                for k in range(i, j - 2 * size + 1, size):
-                    for times in {2, 3, (j - k) // size}:
-                        if times * size >= 3 and k + times * size <= j:
-                            yield k, k + times * size, each * size + log2(times)
-                i = max(i + 1, j - size + 1)
-            else:
-                i += 1
-    i = 0
-    while i < n - 2:  # walks: maximal runs in one direction, each suffix and prefix of three or more
-        j, way = i + 1, step.get(low[i : i + 2])
-        while way and j + 1 < n and step.get(low[j : j + 2]) == way:
-            j += 1
-        if way and j - i >= 2:
-            for k in range(i, j - 1):
-                yield k, j + 1, log2(94) + log2(j + 1 - k) + 1
-            for k in range(i + 2, j):
-                yield i, k + 1, log2(94) + log2(k + 1 - i) + 1
-        i = j
 
 
 def guess_bits(value: str, words: tuple[str, ...] = tuple(WORDS)) -> float:
     """log2 of the guesses that the cheapest segmentation of ``value`` takes; each segment adds SEGMENT_BITS."""
-    n, each = len(value), _pool(value)
+    return sum(_bits(value[k : k + LONGEST_VALUE], words) for k in range(0, len(value), LONGEST_VALUE))
+
+
+def _bits(value: str, words: tuple[str, ...]) -> float:
+    n, each, step = len(value), _pool(value), _next()
+    low = value.lower() if len(value.lower()) == n else value
     ends: dict[int, list[tuple[int, float]]] = {}
     for i, j, bits in segments(value, words):
         ends.setdefault(j, []).append((i, bits))
-    best, brute = [0.0] + [0.0] * n, [float("inf")] * (n + 1)  # brute: the last segment is a brute-force span
+    best, brute = np.zeros(n + 1), np.inf  # brute: the last segment is a brute-force span
+    same, walk, way = [0] * (LONGEST_UNIT + 1), 1, None
     for j in range(1, n + 1):
-        brute[j] = min(brute[j - 1], best[j - 1] + SEGMENT_BITS) + each
-        best[j] = min([brute[j], *(best[i] + bits + SEGMENT_BITS for i, bits in ends.get(j, ()))])
-    return best[n]
+        brute = min(brute, best[j - 1] + SEGMENT_BITS) + each
+        found = brute
+        for i, bits in ends.get(j, ()):
+            found = min(found, best[i] + bits + SEGMENT_BITS)
+        for size in range(1, min(LONGEST_UNIT, j - 1) + 1):
+            same[size] = same[size] + 1 if value[j - 1] == value[j - 1 - size] else 0
+            times, least = same[size] // size + 1, 3 if size == 1 else 2
+            if times >= least:  # so many units, or fewer, end here
+                before = best[j - times * size : j - least * size + 1 : size] + _LOG[least : times + 1][::-1]
+                found = min(found, float(before.min()) + each * size + SEGMENT_BITS)
+        now = step.get(low[j - 2 : j]) if j > 1 else None
+        walk, way = (walk + 1 if now == way else 2, now) if now else (1, None)
+        if walk >= 3:
+            found = min(found, float((best[j - walk : j - 2] + _LOG[3 : walk + 1][::-1]).min()) + log2(94) + 1 + SEGMENT_BITS)
+        best[j] = found
+    return float(best[n])
 
 
 def find(text: str, words: tuple[str, ...] = tuple(WORDS), min_bits: float = MIN_BITS) -> list[Span]:
@@ -144,16 +142,17 @@ def find(text: str, words: tuple[str, ...] = tuple(WORDS), min_bits: float = MIN
     found += [Span("access", *m.span()) for m in ACCESS.finditer(text)]
     found += [Span("hex", *m.span()) for m in HEX.finditer(text)]
     for m in CONTEXT.finditer(text):
-        value = m[1].rstrip(".:!?)]}")
+        value = m[m.lastindex].rstrip(".:!?)]}")
         if len(value) >= 8 and (bits := guess_bits(value, words)) >= min_bits:
-            found.append(Span("guess", m.start(1), m.start(1) + len(value), round(bits, 3)))
+            found.append(Span("guess", m.start(m.lastindex), m.start(m.lastindex) + len(value), round(bits, 3)))
     return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
 def scan(docs: DataFrame, words: tuple[str, ...] = tuple(WORDS), min_bits: float = MIN_BITS) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id and its spans (kind, start, end, bits).
 
-    Null and empty texts have no spans; null ids and repeated rows are rows like others.
+    Null and empty texts have no spans; null ids and repeated rows are rows like others; long texts
+    are scanned whole; an empty table gives no rows; other columns are ignored.
     """
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("bits", pa.float64())])
 

@@ -52,8 +52,10 @@ def _dealt(pool: DataFrame, loads: DataFrame) -> DataFrame:
     ``loads``: (shard, load) to begin with. One row holds all slots and one all shards (fixed
     numbers), so the greedy pass is one ``aggregate``.
     """
-    slots = pool.agg(F.sort_array(F.collect_list(F.struct("bytes", "vslot")), asc=False).alias("slots"))
-    begin = loads.agg(F.sort_array(F.collect_list(F.struct(F.col("load").cast("long").alias("load"), F.col("shard").cast("int").alias("shard")))).alias("loads"))
+    slot, load = "struct<bytes:long,vslot:int>", "struct<load:long,shard:int>"
+    every = pool.select(F.struct(F.col("bytes").cast("long"), "vslot").cast(slot).alias("slot"), F.lit(None).cast(load).alias("load"))
+    every = every.unionByName(loads.select(F.lit(None).cast(slot).alias("slot"), F.struct("load", "shard").cast(load).alias("load")))
+    held = every.agg(F.sort_array(F.collect_list("slot"), asc=False).alias("slots"), F.sort_array(F.collect_list("load")).alias("loads"))
     lightest = "a.loads[0]"
     greedy = f"""aggregate(slots,
         named_struct('loads', loads, 'map', cast(array() as array<struct<vslot:int,shard:int>>)),
@@ -61,7 +63,7 @@ def _dealt(pool: DataFrame, loads: DataFrame) -> DataFrame:
             'loads', array_sort(concat(slice(a.loads, 2, greatest(size(a.loads), 1)), array(named_struct('load', {lightest}.load + x.bytes + 1, 'shard', {lightest}.shard)))),
             'map', concat(a.map, array(named_struct('vslot', x.vslot, 'shard', {lightest}.shard)))),
         a -> a.map)"""
-    return slots.join(begin).select(F.inline(F.expr(greedy)))  # one row each
+    return held.select(F.inline(F.expr(greedy)))
 
 
 def _shards(spark: SparkSession, shards: int) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from starfold.functions.sums import split
 from starfold.model import Dimension, StarQuery
+from starfold.session import importable
 
 #: Rows of a dimension at most, and array slots for each of them: the bounds of what is collected and broadcast.
 MOST_ROWS = 8_000_000
@@ -173,6 +174,7 @@ def one_pass(q: StarQuery) -> tuple[DataFrame | None, str]:
     if isinstance(measure, T.LongType):
         whole = F.col(q.measure)
     keys = [F.col(x.fact_key).cast(_kind(q.fact.schema[x.fact_key].dataType)).alias(f"k{i}") for i, x in enumerate(lookups)]
+    importable(spark)
     shared = spark.sparkContext.broadcast(lookups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starfold.session import importable
 from starfold.sources.tables import collection
 
 MOST_FILES = 16
@@ -46,6 +47,7 @@ def _streams(spark: SparkSession, paths: list[str]) -> tuple[int, float]:
                         n += len(piece)
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
+    importable(spark)
     began = time.perf_counter()
     named = spark.range(0, len(paths), 1, len(paths)).select(F.element_at(F.array(*map(F.lit, paths)), (F.col("id") + 1).cast("int")).alias("path"))
     return int(named.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0), time.perf_counter() - began
@@ -73,4 +75,5 @@ def stat(spark: SparkSession, paths: list[str]) -> DataFrame:
             names = b.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([os.stat(p).st_size for p in names], pa.int64())], names=["path", "bytes"])
 
+    importable(spark)
     return collection(spark, paths).mapInArrow(run, "path string, bytes long")

@@ -1,4 +1,8 @@
 import json
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +108,24 @@ def test_verify_sees_swapped_values(spark):
     a = spark.createDataFrame([("x", 1.0), ("y", 2.0)], "g string, total double")
     b = spark.createDataFrame([("x", 2.0), ("y", 1.0)], "g string, total double")
     assert verify.groups_and_sum(a) == verify.groups_and_sum(b) and not verify.same({"a": a, "b": b})["b"]
+
+
+def test_workers_find_the_package_without_pythonpath(tmp_path):
+    """A driver that only has the package on sys.path, started elsewhere: one pass and storage probe still run."""
+    root = Path(__file__).resolve().parents[1]
+    code = f"""
+import sys; sys.path.insert(0, {str(root)!r})
+from starfold.model import Dimension
+from starfold.operators.star import star_aggregate
+from starfold.session import make_session
+from starfold.tools import probe
+s = make_session("elsewhere", "local[2]", shuffle_partitions=2, **{{"spark.ui.enabled": "false"}})
+fact = s.createDataFrame([(0, 1.0), (1, 2.0), (1, 4.0)], "k long, amount double")
+fact.write.parquet({str(tmp_path / "fact")!r})
+dim = s.createDataFrame([(0, "a"), (1, "b")], "id long, name string")
+out = star_aggregate(fact, [Dimension(dim, "k", "id", ["name"])], ["name"], "amount", "onepass")
+print(sorted(map(tuple, out.collect())), probe.probe(s, {str(tmp_path / "fact")!r})["files"] > 0)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.stdout.strip().endswith("[('a', 1.0), ('b', 6.0)] True"), done.stderr[-2000:]
